@@ -45,6 +45,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024).drop("copy")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": op1_token_store,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_toxicity": op7_toxicity,
         "op8_source_mix": op8_source_mix,
         "op10_quality_rules": op10_quality_rules,
     }
