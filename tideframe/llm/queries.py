@@ -39,12 +39,30 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op3_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, 1024).drop("copy")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -57,6 +75,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_rules, judge
 
@@ -68,9 +92,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_secret_formats": op3_secret_formats,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_ngram_join": op5_ngram_join,
+        "op6_warc": op6_warc,
         "op7_toxicity": op7_toxicity,
         "op8_source_mix": op8_source_mix,
+        "op9_suffix_family": op9_suffix_family,
         "op10_quality_rules": op10_quality_rules,
     }
 
