@@ -21,7 +21,7 @@ from .common import batches_by_bytes, plain
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
 #: Labelled texts that a fit sees at most, those first by hash; and bytes of theirs in one block of counting.
-SAMPLE, BLOCK = 6000, 4_000_000
+SAMPLE, BLOCK = 5000, 600_000
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,23 +78,31 @@ def fit(texts: pa.Array, toxic: np.ndarray, evidence: float = 24.0, penalty: flo
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         return Model(np.zeros(BUCKETS), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    counts, weighed, parts, begin = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS)), [], 0
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    while begin < len(texts):
-        end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BLOCK, side="right")))
-        d, b, x = counted(*ngrams(texts.slice(begin, end - begin)))
-        d += begin
+
+    def blocks():
+        """Texts by BLOCK bytes: the first one's number, and the n-grams of a block, not yet each once."""
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BLOCK, side="right")))
+            yield begin, *ngrams(texts.slice(begin, end - begin))
+            begin = end
+
+    counts, weighed = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
+    for begin, d, b in blocks():
+        d, b, x = counted(d, b)
         for c in (0, 1):
-            own = y[d] == c
+            own = y[d + begin] == c
             counts[c] += np.bincount(b[own], minlength=BUCKETS)
             weighed[c] += np.bincount(b[own], x[own], minlength=BUCKETS)
-        parts.append((d.astype(np.int32), b.astype(np.int32), x.astype(np.float32)))
-        begin = end
     ratio = np.log((weighed[1] + 1) / (n1 + 2)) - np.log((weighed[0] + 1) / (n0 + 2))
     chosen = _likelihood(counts[1], n1, counts[0], n0) >= evidence
-    d = np.concatenate([d[chosen[b]] for d, b, _ in parts])
-    x = np.concatenate([x[chosen[b]] for _, b, x in parts]).astype(float)
-    b = np.concatenate([b[chosen[b]] for _, b, _ in parts])
+    # Read again, so that only the chosen buckets are ever held for all texts.
+    parts = []
+    for begin, d, b in blocks():
+        d, b, x = counted(d[chosen[b]], b[chosen[b]])
+        parts.append((d + begin, b, x))
+    d, b, x = (np.concatenate(p) for p in zip(*parts))
     x *= ratio[b]
     length = _log_length(texts)
     # Rare toxic texts weigh as much as all others together, half way.
