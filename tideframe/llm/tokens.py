@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks whose ids a worker keeps.
-MEMO = 2_000_000
+MEMO = 1_000_000
 _ODD = r"(^ )|( $)|([\s\pZ\x{85}\x{1c}-\x{1f}] [\s\pZ\x{85}\x{1c}-\x{1f}])"
 _WORD = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
