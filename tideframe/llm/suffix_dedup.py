@@ -32,27 +32,40 @@ from pyspark.sql import functions as F
 from .common import Bloom, batches_by_bytes, build_bloom, plain, staged
 
 LENGTH, K = 200, 32
-BATCHES = 4
+BATCHES = 2
 GROUP_RUNS = 16_384
 #: Bytes of runs that one task compares at a time, whole groups.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
+#: Bytes of texts whose hashes a task holds at a time.
+SLICE = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+_BYTES = np.random.default_rng(19).integers(0, 1 << 63, (3, 256), dtype=np.uint64) | np.uint64(1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of strings put together; the shift keeps sums of unlike parts from cancelling."""
+    out = right >> np.uint64(31)
+    out ^= right
+    out += left * _Q
+    return out
+
+
 def grams(raw: np.ndarray) -> np.ndarray:
     """Hashes of all K-byte strings of raw, by doubling."""
-    h, n = _mix(raw.astype(np.uint64) + _P), 1
+    h, n = _BYTES[0][raw], 1
     while n < K:
-        h = _mix(h[: len(h) - n] * _Q + h[n:]) if len(h) > n else h[:0]
+        h = _joined(h[: len(h) - n], h[n:]) if len(h) > n else h[:0]
         n *= 2
-    return h
+    return _mix(h)
 
 
 def runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -84,21 +97,20 @@ def runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def window_hashes(raw: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of all strings of LENGTH bytes, put together from strings of 128, 64 and 8 bytes."""
-    seeds = np.uint64(seed) * _P
-    h, n, out, need, at = _mix(raw.astype(np.uint64) + seeds + _P), 1, None, LENGTH, 0
+    h, n, out, need, at = _BYTES[seed][raw], 1, None, LENGTH, 0
     count = len(raw) - LENGTH + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
     while need:
         if need & n:
             part = h[at : at + count]
-            out = part.copy() if out is None else _mix(out * _Q + part + seeds)
+            out = part.copy() if out is None else _joined(out, part)
             at += n
             need -= n
         if need:
-            h = _mix(h[: len(h) - n] * _Q + h[n:] + seeds)
+            h = _joined(h[: len(h) - n], h[n:])
             n *= 2
-    return out
+    return _mix(out)
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -111,16 +123,18 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _entries(batches):
     for big in batches:
-        for batch in batches_by_bytes(big, "text", 4_000_000):
+        for batch in batches_by_bytes(big, "text", SLICE):
             raw, ends = _texts(batch)
             text, lo, hi, _, key = runs(raw, ends)
             begin = np.concatenate([[0], ends[:-1]])[text] if len(text) else lo
             view = memoryview(raw)
-            prints = [hashlib.blake2b(view[a : b + LENGTH], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())]
+            prints = b"".join([hashlib.blake2b(view[a : b + LENGTH], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())])
+            run = np.frombuffer(prints, np.int64).reshape(-1, 2)
             at = pa.array(text)
+            rows = batch["row"].to_numpy()[text]
             yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(prints, pa.binary()), batch["doc_id"].take(at), batch["row"].take(at), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32))],
-                names=["anchor", "run", "doc_id", "row", "lo", "hi"],
+                [pa.array(key.view(np.int64)), pa.array(run[:, 0].copy()), pa.array(run[:, 1].copy()), batch["doc_id"].take(at), pa.array(rows), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32)), pa.array(_spot(rows, lo - begin))],
+                names=["anchor", "run1", "run2", "doc_id", "row", "lo", "hi", "spot"],
             )
 
 
@@ -129,26 +143,19 @@ def _spot(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return _mix(row.astype(np.int64).view(np.uint64) * _P + lo.astype(np.uint64)).view(np.int64)
 
 
-def _spots(batches):
-    for batch in batches:
-        yield pa.record_batch([pa.array(_spot(batch["row"].to_numpy(), batch["lo"].to_numpy()))], names=["h"])
-
-
 class IndexFamily:
-    """Levels of suffix arrays; level i holds the arrays of 2**i batches. An entry is anchor, run, n, row, lo (one of its places)."""
+    """Levels of suffix arrays; level i holds the arrays of 2**i batches. An entry is anchor, run1, run2, n, spot (one of its places)."""
 
     def __init__(self) -> None:
         self.levels: list[DataFrame | None] = []
 
     @staticmethod
     def array_of(occurrences: DataFrame) -> DataFrame:
-        place = F.min(F.struct("row", "lo")).alias("place")
-        return occurrences.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), place).select("anchor", "run", "n", "place.row", "place.lo")
+        return occurrences.groupBy("anchor", "run1", "run2").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("spot"))
 
     @staticmethod
     def merged(one: DataFrame, two: DataFrame) -> DataFrame:
-        place = F.min(F.struct("row", "lo")).alias("place")
-        return one.unionByName(two).groupBy("anchor", "run").agg(F.sum("n").alias("n"), place).select("anchor", "run", "n", "place.row", "place.lo")
+        return one.unionByName(two).groupBy("anchor", "run1", "run2").agg(F.sum("n").alias("n"), F.min("spot").alias("spot"))
 
     def add(self, occurrences: DataFrame) -> None:
         array, i = self.array_of(occurrences), 0
@@ -157,7 +164,7 @@ class IndexFamily:
             i += 1
         if i == len(self.levels):
             self.levels.append(None)
-        self.levels[i] = staged(array.sortWithinPartitions("anchor", "run"), f"level-{i}")
+        self.levels[i] = staged(array.sortWithinPartitions("anchor", "run1"), f"level-{i}")
 
     def entries(self) -> DataFrame:
         """All levels as one array."""
@@ -168,6 +175,18 @@ class IndexFamily:
         return out if len(held) == 1 else staged(out, "levels")
 
 
+def _where(df: DataFrame, column: str, bloom: Bloom, plane: np.ndarray, *columns: str) -> DataFrame:
+    """Rows of df whose 64-bit column the filter may hold."""
+    sent = df.sparkSession.sparkContext.broadcast(plane)  # of at most 32 MB
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.has(sent.value, batch[column].to_numpy())))
+
+    own = df.select(*columns)
+    return own.mapInArrow(run, own.schema)
+
+
 def _compare(batches):
     """Over runs (anchor, doc_id, row, lo, raw) sorted by anchor: doc_id, row, start, end of stretches of windows that occur twice among them."""
     held: list[pa.RecordBatch] = []
@@ -234,20 +253,30 @@ def repeated_stretches(docs: DataFrame, batches: int = BATCHES, group_runs: int
     """docs (doc_id, row, text): doc_id, row, start, end of stretches, which may overlap, whose windows all occur twice or more."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    occurrences = staged(docs.mapInArrow(_entries, f"anchor bigint, run binary, doc_id {kind}, row bigint, lo int, hi int"), "suffixes")
+    occurrences = staged(docs.mapInArrow(_entries, f"anchor bigint, run1 bigint, run2 bigint, doc_id {kind}, row bigint, lo int, hi int, spot bigint"), "suffixes")
     family = IndexFamily()
     for i in range(batches):
         family.add(occurrences.where(F.pmod("row", F.lit(batches)) == i))
     entries = family.entries()
-    full = occurrences.join(entries.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
+    # Runs that occur twice: a filter lets few other occurrences through to the join.
+    twice = entries.where("n > 1").select("run1", "run2", "anchor")
+    bloom = Bloom.sized(twice.count(), 16)
+    full = _where(occurrences, "run1", bloom, build_bloom(twice.select("run1"), bloom), "run1", "run2", "anchor", "doc_id", "row", "lo", "hi").join(twice, ["run1", "run2", "anchor"], "left_semi")
     found = full.select("doc_id", "row", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
 
-    # Anchors that hold a single run among others, and one place of each of their runs.
+    # Anchors that hold a single run among others, and one place of each of their runs. What the filters let through besides is
+    # compared too, and finds nothing that isn't there.
     open_ = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("m > 1 and single > 0")
     open_ = staged(open_.select("anchor", "m"), "open-anchors")
-    places = staged(entries.join(open_.select("anchor"), "anchor", "left_semi").select("row", "lo").mapInArrow(_spots, "h bigint"), "open-places")
+    bloom_open = Bloom.sized(open_.count(), 16)
+    places = staged(_where(entries, "anchor", bloom_open, build_bloom(open_.select("anchor"), bloom_open), "anchor", "spot").select("spot"), "open-places")
     bloom = Bloom.sized(places.count(), 24)
-    sent = spark.sparkContext.broadcast(build_bloom(places, bloom))
+    plane = build_bloom(places, bloom)
+    sent = spark.sparkContext.broadcast(plane)
+    rows = _where(occurrences, "spot", bloom, plane, "spot", "row").select("row").distinct()
+    rows = staged(rows, "open-rows")
+    bloom_rows = Bloom.sized(rows.count(), 16)
+    sent_rows = spark.sparkContext.broadcast(build_bloom(rows, bloom_rows))
     many = open_.where(F.col("m") > group_runs).select("anchor")
     n_many = many.count()
     large = Bloom.sized(n_many, 24)
@@ -255,7 +284,8 @@ def repeated_stretches(docs: DataFrame, batches: int = BATCHES, group_runs: int
 
     def spans(batches):
         for big in batches:
-            for batch in batches_by_bytes(big, "text", 4_000_000):
+            big = big.filter(pa.array(bloom_rows.has(sent_rows.value, big["row"].to_numpy())))
+            for batch in batches_by_bytes(big, "text", SLICE):
                 raw, ends = _texts(batch)
                 text, lo, hi, _, key = runs(raw, ends)
                 if not len(text):
