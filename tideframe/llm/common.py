@@ -104,29 +104,30 @@ def build_bloom(keys: DataFrame, bloom: Bloom, twice: bool = False) -> np.ndarra
     blocks = bloom.bits // 8 // min(BLOCK, bloom.bits // 8)
     width = bloom.bits // 8 // blocks
 
+    def put(plane: np.ndarray, p: np.ndarray) -> None:
+        """Sets bits; p is sorted."""
+        byte = p >> 3
+        at = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        plane[byte[at]] |= np.bitwise_or.reduceat(np.left_shift(1, p & 7).astype(np.uint8), at)
+
     def fill(batches):
-        one, two = np.zeros(bloom.bits, bool), np.zeros(bloom.bits, bool) if twice else None
+        one, two = np.zeros(bloom.bits // 8, np.uint8), np.zeros(bloom.bits // 8 if twice else 0, np.uint8)
         for batch in batches:
-            col = batch.column(0)
-            k = col.drop_null().to_numpy(zero_copy_only=False)
+            k = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
             if not len(k):
                 continue
-            if not twice:
-                for p in bloom.positions(k):
-                    one[p.astype(np.int64)] = True
-                continue
             p = np.sort(np.concatenate(bloom.positions(k)).astype(np.int64))
-            same = p[1:][p[1:] == p[:-1]]
-            two[same] = True
-            two[p] |= one[p]
-            one[p] = True
-        a = np.packbits(one, bitorder="little")
-        b = np.packbits(two, bitorder="little") if twice else a[:0]
+            if twice:
+                again = (p[1:] == p[:-1]) | ((one[p[1:] >> 3] >> (p[1:] & 7)) & 1 == 1)
+                again = np.concatenate([[(one[p[0] >> 3] >> (p[0] & 7)) & 1 == 1], again])
+                if again.any():
+                    put(two, p[again])
+            put(one, p)
         for i in range(blocks):
-            part = a[i * width : (i + 1) * width]
+            part = one[i * width : (i + 1) * width]
             if part.any():
                 yield pa.record_batch(
-                    [pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([b[i * width : (i + 1) * width].tobytes()], pa.binary())],
+                    [pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([two[i * width : (i + 1) * width].tobytes()], pa.binary())],
                     names=["block", "one", "two"],
                 )
 

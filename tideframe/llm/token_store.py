@@ -4,10 +4,13 @@ Each document's ids are cut where a rolling hash over the last WINDOW ids meets
 chunks wherever they stand. A chunk is stored once, under the SHA-256 of its bytes; a document is a recipe, the list of
 its chunks' digests. Tables below a store's folder:
 
-* chunks: digest, n, ids (little-endian unsigned 32-bit), dealt by digest
+* chunks: digest, n, ids (little-endian unsigned numbers of 16 bits, or of 32 where an id needs them)
 * recipes: segment, doc_id, start, n_tokens, digests, root; segments hold ascending ranges of doc_id, rows are sorted
 * manifest: segment, n_docs, n_tokens, root, and one row (segment null) with the root over the segments
 
+The digest of a chunk is that of its ids in 32 bits. Chunks that only one task made are stored where they were made; a filter of
+digests that tasks may share tells the others, and only those shuffle to be stored once.
+
 A document's root is the SHA-256 of its digests in a row, a block's that of BLOCK_DOCS document roots, a segment's that of its
 blocks' roots, and the store's that of its segments' roots: a Merkle tree that reading verifies from the chunks up.
 
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import batches_by_bytes, plain, staged
+from .exact_dedup import flag_repeated, repeated_filters
 from .tokens import encoder, with_end
 
 #: Ids that the rolling hash sees; chunks are MIN_CHUNK to MAX_CHUNK ids long, but for a document's last, and about MEAN_CHUNK.
@@ -67,19 +71,19 @@ def _chunker(path: str, end_id: int):
         for big in batches:
             for batch in batches_by_bytes(big, "text", 4_000_000):
                 ids, bounds = with_end(*encoder(path).encode(batch["text"]), end_id)
-                raw = ids.astype("<u4")
+                raw = np.ascontiguousarray(ids, "<u4")
+                narrow = raw.astype("<u2") if len(raw) and int(raw.max()) < 1 << 16 else raw
                 rows = []
                 for a, ends in zip(bounds[:-1].tolist(), cut_points(ids, bounds)):
                     digests, lengths, bodies, at = [], [], [], 0
                     for end in ends.tolist():
-                        body = raw[a + at : a + end].tobytes()
-                        digests.append(d := hashlib.sha256(body).digest())
+                        digests.append(d := hashlib.sha256(raw[a + at : a + end]).digest())
                         lengths.append(end - at)
-                        bodies.append(None if d in sent else body)
+                        bodies.append(None if d in sent else narrow[a + at : a + end].tobytes())
                         sent.add(d)
                         at = end
                     rows.append((digests, lengths, bodies))
-                    if len(sent) > 1_000_000:
+                    if len(sent) > 300_000:
                         sent.clear()
                 yield pa.record_batch(
                     [
@@ -113,13 +117,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Toke
     schema = f"doc_id {kind}, n_tokens bigint, digests array<binary>, lengths array<int>, bodies array<binary>, root binary"
     cut = staged(plain(docs, "doc_id", "text").mapInArrow(_chunker(tokenizer, end_id), schema), "token-chunks")
 
-    chunks = cut.select(F.explode(F.arrays_zip("digests", "lengths", "bodies")).alias("c")).where("c.bodies is not null")
-    (
-        chunks.select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.col("c.bodies").alias("ids"))
-        .dropDuplicates(["digest"])
-        .write.option("compression", "zstd")
-        .parquet(f"{path}/chunks")
-    )
+    listed = cut.select(F.explode(F.arrays_zip("digests", "lengths", "bodies")).alias("c")).where("c.bodies is not null")
+    chunks = listed.select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.col("c.bodies").alias("ids"))
+    keys = cut.select(F.explode(F.arrays_zip("digests", "bodies")).alias("c")).where("c.bodies is not null").select(F.xxhash64("c.digests").alias("h"))
+    keys = staged(keys, "chunk-keys")
+    filters = repeated_filters(keys, keys.count())
+    flagged = flag_repeated(chunks.withColumn("h", F.xxhash64("digest")), filters)
+    alone, shared = (flagged.where(c).select("digest", "n", "ids") for c in ("not maybe", "maybe"))
+    alone.unionByName(shared.dropDuplicates(["digest"])).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     n = cut.count()
     segments = max(1, -(-n // SEGMENT_DOCS))
@@ -205,13 +210,21 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 _tables: np.ndarray | None = None
 
 
+def unpacked(body: bytes, n: int) -> np.ndarray:
+    """A stored chunk's n ids as little-endian unsigned 32-bit numbers."""
+    if len(body) not in (2 * n, 4 * n):
+        raise ValueError("a chunk's length isn't that of its ids")
+    return np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4").astype("<u4")
+
+
 def _verified(batches):
     for batch in batches:
         crc, n = [], []
         for digest, count, body in zip(batch["digest"].to_pylist(), batch["n"].to_pylist(), batch["ids"].to_pylist()):
-            if hashlib.sha256(body).digest() != digest or len(body) != 4 * count:
+            ids = unpacked(body, count)
+            if hashlib.sha256(ids).digest() != digest:
                 raise ValueError(f"chunk {digest.hex()} doesn't hold what its name says")
-            crc.append(zlib.crc32(body))
+            crc.append(zlib.crc32(ids))
             n.append(count)
         yield pa.record_batch([batch["digest"], pa.array(n, pa.int32()), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
 
@@ -266,13 +279,13 @@ def read_documents(spark: SparkSession, store: TokenStore) -> DataFrame:
     """doc_id, start, ids (array of int): whole documents put together again from their chunks."""
     recipes = store.table(spark, "recipes")
     spots = recipes.select("segment", "at", F.posexplode("digests").alias("seq", "digest"))
-    bodies = spots.join(store.table(spark, "chunks").select("digest", "ids"), "digest")
-    whole = bodies.groupBy("segment", "at").agg(F.expr("aggregate(transform(array_sort(collect_list(struct(seq, ids))), x -> x.ids), X'', (a, x) -> concat(a, x))").alias("raw"))
+    bodies = spots.join(store.table(spark, "chunks"), "digest")
+    whole = bodies.groupBy("segment", "at").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "ids"))).alias("c"))
 
     def unpack(batches):
         for batch in batches:
-            ids = [np.frombuffer(x or b"", "<u4").astype(np.int32) for x in batch["raw"].to_pylist()]
+            ids = [np.concatenate([unpacked(x["ids"], x["n"]) for x in c]).astype(np.int32) for c in batch["c"].to_pylist()]
             yield pa.record_batch([batch["doc_id"], batch["start"], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
     kind = dict(recipes.dtypes)["doc_id"]
-    return recipes.select("segment", "at", "doc_id", "start").join(whole, ["segment", "at"], "left").select("doc_id", "start", "raw").mapInArrow(unpack, f"doc_id {kind}, start bigint, ids array<int>")
+    return recipes.select("segment", "at", "doc_id", "start").join(whole, ["segment", "at"]).select("doc_id", "start", "c").mapInArrow(unpack, f"doc_id {kind}, start bigint, ids array<int>")
