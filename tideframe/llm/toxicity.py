@@ -156,7 +156,7 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = Model(*sent.value)
         for big in batches:
-            for batch in batches_by_bytes(big, "text", 4_000_000):
+            for batch in batches_by_bytes(big, "text", 500_000):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch["text"]), pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
