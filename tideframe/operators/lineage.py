@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoding import canonical_json
+from .cut import materialized
 
 # Fixed format names of the documents.
 RELATION_FORMAT = "qrt-dataset-supersedes/1"
@@ -96,20 +97,17 @@ def reachable(edges: DataFrame, starts: DataFrame, backwards: bool = False, most
     """start, node for every node that each start leads to; a start is among them only if it lies on a cycle.
 
     Semi-naive: each round joins only the pairs that the last one found new, so cycles end by themselves and shared paths are walked
-    once. Rounds are checkpointed where the session has a folder for that.
+    once. Each round is a checkpoint.
     """
-    spark = edges.sparkSession
-    step = edges.select(F.col("b" if backwards else "a").alias("from"), F.col("a" if backwards else "b").alias("to")).distinct()
-    durable = bool(spark.conf.get("spark.checkpoint.dir", None)) or not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    cut = (lambda df: df.checkpoint()) if durable else (lambda df: df.persist())
-    new = cut(starts.toDF("start").join(step, F.col("start") == F.col("from")).select("start", F.col("to").alias("node")).distinct())
+    step = materialized(edges.select(F.col("b" if backwards else "a").alias("from"), F.col("a" if backwards else "b").alias("to")).distinct())
+    new = materialized(starts.toDF("start").join(step, F.col("start") == F.col("from")).select("start", F.col("to").alias("node")).distinct())
     every = new
     for _ in range(most):
         found = new.join(step, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
-        new = cut(found.join(every, ["start", "node"], "left_anti"))
+        new = materialized(found.join(every, ["start", "node"], "left_anti"))
         if new.isEmpty():
             return every
-        every = cut(every.unionByName(new))
+        every = materialized(every.unionByName(new))
     raise LineageError(f"paths of more than {most} steps")
 
 
@@ -130,15 +128,14 @@ def reachable_sql(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that lead to themselves. Nodes without a way in or out go first, again and again, so that only what may be cyclic is walked."""
-    left = edges.select("a", "b").distinct()
+    left = materialized(edges.select("a", "b").distinct())
     n = left.count()
-    while True:
-        left = left.join(left.select(F.col("b").alias("x")).distinct(), F.col("a") == F.col("x"), "left_semi")
-        left = left.join(left.select(F.col("a").alias("x")).distinct(), F.col("b") == F.col("x"), "left_semi").persist()
-        m = left.count()
-        if m == n:
+    while n:
+        into, out = left.select(F.col("b").alias("x")).distinct(), left.select(F.col("a").alias("x")).distinct()
+        left = materialized(left.join(into, F.col("a") == F.col("x"), "left_semi").join(out, F.col("b") == F.col("x"), "left_semi"))
+        before, n = n, left.count()
+        if n == before:
             break
-        n = m
     return reachable(left, left.select("a").distinct()).where("start = node").select("node").orderBy("node")
 
 

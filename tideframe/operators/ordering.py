@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..schemas import PRECEDENCE
+from .cut import materialized
 
 
 def precedence(record_type: Column) -> Column:
@@ -22,9 +23,8 @@ def event_order(events: DataFrame) -> DataFrame:
 
 
 def _ranged(df: DataFrame, *order: str) -> DataFrame:
-    """df dealt by ranges, with the number of the range; a fixed number of ranges, so that every reading of the plan deals alike."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    """df dealt by ranges, with the number of the range. Bounds are sampled anew by each reading of a plan, so one reading is kept."""
+    return materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
 
 
 def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:

@@ -32,7 +32,7 @@ def schema_issues(raw: DataFrame, kind: str, strict: bool = True) -> DataFrame:
     missing = F.coalesce(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS[kind]])
     out = _issues(raw, SCHEMA, "ERROR", F.when(missing.isNotNull(), "missing_required_field"), missing)
     if strict and "extra" in raw.columns:
-        out = out.unionByName(_issues(raw, SCHEMA, "ERROR", F.when(F.size("extra") > 0, "unknown_field"), F.array_sort("extra").getItem(0)))
+        out = out.unionByName(_issues(raw, SCHEMA, "ERROR", F.when(F.size("extra") > 0, "unknown_field"), F.get(F.array_sort("extra"), F.lit(0))))
     return out
 
 
@@ -47,23 +47,30 @@ def symbol_issues(raw: DataFrame) -> DataFrame:
     return _issues(raw.where("instrument_symbol is not null"), SYMBOL, "ERROR", F.when(bad, "invalid_instrument_symbol"), F.lit("instrument_symbol"))
 
 
-def value_defect(kind: str) -> Column:
-    """struct(code, field) of a record's first defect, else null: prices in order, quantities in order, then the record's own rule."""
-    found = [F.when(E.price_violation(F.col(f)).isNotNull(), F.struct(E.coded(E.price_violation(F.col(f)), E.PRICE_CODES).alias("code"), F.lit(f).alias("field"))) for f in PRICES[kind]]
-    found += [F.when(E.quantity_violation(F.col(f)).isNotNull(), F.struct(E.coded(E.quantity_violation(F.col(f)), E.QUANTITY_CODES).alias("code"), F.lit(f).alias("field"))) for f in QUANTITIES[kind]]
-    issue = lambda when, code, field: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
-    number = lambda f: E.as_decimal(F.col(f))
+def value_issues(raw: DataFrame, kind: str) -> DataFrame:
+    """A record's first defect: prices in order, quantities in order, then the record's own rule. Records that lack fields are passed over."""
+    whole = raw.where(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in FIELDS[kind]]))
+    # Reasons are columns of their own, so that each is worked out once.
+    whole = whole.withColumns({f"__v_{f}": E.price_violation(F.col(f)) for f in PRICES[kind]} | {f"__v_{f}": E.quantity_violation(F.col(f)) for f in QUANTITIES[kind]})
+    whole = whole.withColumns({f"__n_{f}": E.as_decimal(F.col(f)) for f in PRICES[kind]})
+    issue = lambda when, code, field: F.when(when, F.struct(code.alias("code"), F.lit(field).alias("field")))
+    found = [issue(F.col(f"__v_{f}").isNotNull(), E.coded(F.col(f"__v_{f}"), E.PRICE_CODES), f) for f in PRICES[kind]]
+    found += [issue(F.col(f"__v_{f}").isNotNull(), E.coded(F.col(f"__v_{f}"), E.QUANTITY_CODES), f) for f in QUANTITIES[kind]]
     if kind == "trade":
-        found.append(issue(E.side(F.col("side")).isNull(), "invalid_trade_side", "side"))
+        found.append(issue(E.side(F.col("side")).isNull(), F.lit("invalid_trade_side"), "side"))
     elif kind == "quote":
-        found.append(issue(number("bid") > number("ask"), "bid_ask_inversion", "bid"))
+        found.append(issue(F.col("__n_bid") > F.col("__n_ask"), F.lit("bid_ask_inversion"), "bid"))
     else:
-        us = interval_micros(F.col("interval"))
-        found.append(issue(us.isNull() | (us <= 0), "invalid_bar_interval", "interval"))
-        at = E.utc_micros(F.col("timestamp"))
-        found.append(issue(F.coalesce(at - us < F.lit(-62135596800000000), F.lit(False)), "interval_out_of_range", "interval"))
-        found.append(issue(~E.ohlc_consistent(*[number(f) for f in ("open", "high", "low", "close")]), "invalid_ohlc", "high"))
-    return F.coalesce(*found)
+        whole = whole.withColumn("__us", interval_micros(F.col("interval"))).withColumn("__at", E.utc_micros(F.col("timestamp")))
+        found.append(issue(F.col("__us").isNull() | (F.col("__us") <= 0), F.lit("invalid_bar_interval"), "interval"))
+        found.append(issue(F.coalesce(F.col("__at") - F.col("__us") < F.lit(EARLIEST), F.lit(False)), F.lit("interval_out_of_range"), "interval"))
+        found.append(issue(~E.ohlc_consistent(*[F.col(f"__n_{f}") for f in ("open", "high", "low", "close")]), F.lit("invalid_ohlc"), "high"))
+    found = whole.withColumn("__d", F.coalesce(*found))
+    return _issues(found, VALUE, "ERROR", F.col("__d.code"), F.col("__d.field"))
+
+
+#: Microseconds of the first instant that can be told, the start of the year 1.
+EARLIEST = -62_135_596_800_000_000
 
 
 def interval_micros(text: Column) -> Column:
@@ -72,11 +79,6 @@ def interval_micros(text: Column) -> Column:
     return F.when(us == F.floor(us), us.try_cast("bigint"))
 
 
-def value_issues(raw: DataFrame, kind: str) -> DataFrame:
-    whole = raw.where(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in FIELDS[kind]])).withColumn("__d", value_defect(kind))
-    return _issues(whole, VALUE, "ERROR", F.col("__d.code"), F.col("__d.field"))
-
-
 def identity(kind: str) -> Column:
     """A value that equal records share, or null where a record has no identity. Numbers compare as numbers."""
     names = IDENTITY[kind]
@@ -102,7 +104,9 @@ def identity_groups(raw: DataFrame, kind: str) -> DataFrame:
     """
     own = raw.withColumn("__id", identity(kind)).where("__id is not null")
     values = BAR_VALUES if kind == "bar" else ()
-    span = [x for f in values for x in (F.min(F.coalesce(E.as_decimal(F.col(f)).cast("string"), f)).alias(f"__lo_{f}"), F.max(F.coalesce(E.as_decimal(F.col(f)).cast("string"), f)).alias(f"__hi_{f}"))]
+    # Numbers compare as numbers, and texts that aren't any as texts.
+    own = own.withColumns({f"__x_{f}": F.coalesce(E.as_decimal(F.col(f)).cast("string"), f) for f in values})
+    span = [x for f in values for x in (F.min(f"__x_{f}").alias(f"__lo_{f}"), F.max(f"__x_{f}").alias(f"__hi_{f}"))]
     out = own.groupBy(F.col("__id").alias("identity")).agg(F.count(F.lit(1)).alias("n"), F.min("source_index").alias("first_index"), *span).where("n > 1")
     differing = F.array_compact(F.array(*[F.when(~F.col(f"__lo_{f}").eqNullSafe(F.col(f"__hi_{f}")), F.lit(f)) for f in values])) if values else F.array().cast("array<string>")
     return out.select("identity", "n", "first_index", differing.alias("differing")).withColumn("conflicting", F.size("differing") > 0)
@@ -111,7 +115,7 @@ def identity_groups(raw: DataFrame, kind: str) -> DataFrame:
 def duplicate_issues(raw: DataFrame, kind: str) -> DataFrame:
     """Later copies of a record are warnings; members of a bar group that disagree are errors, the first included, and no warnings then."""
     met = raw.withColumn("identity", identity(kind)).join(identity_groups(raw, kind), "identity")
-    conflict = _issues(met.where("conflicting"), DUPLICATE, "ERROR", F.lit("conflicting_bar"), F.col("differing").getItem(0))
+    conflict = _issues(met.where("conflicting"), DUPLICATE, "ERROR", F.lit("conflicting_bar"), F.get("differing", F.lit(0)))
     return conflict.unionByName(_issues(met.where("not conflicting and source_index > first_index"), DUPLICATE, "WARNING", F.lit("duplicate_row"), F.lit(None).cast("string")))
 
 

@@ -80,7 +80,7 @@ RAW_TRADE = """SELECT event_id AS source_index,
  CASE event_type WHEN 'purchase' THEN ' BUY ' WHEN 'signup' THEN 'sell' WHEN 'error' THEN 'cross' ELSE 'Unknown' END AS side
  FROM {src}"""
 RAW_QUOTE = """SELECT event_id AS source_index, concat({iso_day}, '+00:00') AS timestamp, concat('U', CAST(user_id % 20 AS VARCHAR(20))) AS instrument_symbol,
- CAST(CAST(value % 5 AS DECIMAL(18,0)) + 1 AS VARCHAR(20)) AS bid, CASE WHEN event_id % 2 = 0 THEN concat(CAST(CAST(value % 5 AS DECIMAL(18,0)) + 2 AS VARCHAR(20)), '.0') ELSE CAST(CAST(value % 5 AS DECIMAL(18,0)) + CASE WHEN event_id % 11 = 1 THEN 0 ELSE 2 END AS VARCHAR(20)) END AS ask,
+ CAST(CAST(value % 5 AS DECIMAL(18,0)) + CASE WHEN event_id % 11 = 1 THEN 3 ELSE 1 END AS VARCHAR(20)) AS bid, concat(CAST(CAST(value % 5 AS DECIMAL(18,0)) + 2 AS VARCHAR(20)), CASE WHEN event_id % 2 = 0 THEN '.0' ELSE '' END) AS ask,
  '1' AS bid_size, CAST(event_id % 2 + 1 AS VARCHAR(20)) AS ask_size FROM {src}"""
 RAW_BAR = """SELECT l_orderkey * 100 + l_linenumber AS source_index, concat({iso_ship}, '+00:00') AS timestamp, concat('P', CAST(l_partkey % 50 AS VARCHAR(20))) AS instrument_symbol,
  CASE WHEN l_orderkey % 101 = 1 THEN '-60' WHEN l_orderkey % 103 = 1 THEN 'day' WHEN l_orderkey % 107 = 1 THEN '0.0000001' WHEN l_linenumber % 2 = 0 THEN '86400' ELSE '86400.0' END AS interval,

@@ -212,18 +212,18 @@ def validate_quote_issues(spark, sf):
     return V.value_issues(A.raw_quotes(spark, sf), "quote")
 
 
-@query(f"""WITH {A.RT}, v AS (SELECT (source_index * 7919) % 1000003 AS source_index, {MICROS} // 3600000000 * 3600000000 AS at FROM r WHERE {STATUS} = 'valid'), l AS (SELECT *, lag(at) OVER (ORDER BY source_index) AS p FROM v)
- SELECT 5 AS validator, source_index AS row_index, CASE WHEN at < p THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN at < p THEN 'descending_timestamp' ELSE 'ambiguous_timestamp_order' END AS code, 'timestamp' AS field_name FROM l WHERE at <= p""")
+@query(f"""WITH {A.RT}, v AS (SELECT (source_index * 7919) % 1000003 AS source_index, {MICROS} // 3600000000 * 3600000000 AS tm FROM r WHERE {STATUS} = 'valid'), l AS (SELECT *, lag(tm) OVER (ORDER BY source_index) AS p FROM v)
+ SELECT 5 AS validator, source_index AS row_index, CASE WHEN tm < p THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN tm < p THEN 'descending_timestamp' ELSE 'ambiguous_timestamp_order' END AS code, 'timestamp' AS field_name FROM l WHERE tm <= p""")
 def validate_ordering_issues(spark, sf):
     raw = A.raw_trades(spark, sf).withColumn("source_index", F.col("source_index") * 7919 % 1000003)
     hour = F.regexp_replace("timestamp", r"T(\d\d):\d\d:\d\d\.\d+", "T$1:00:00.000000")
     return V.ordering_issues(raw.withColumn("timestamp", hour))
 
 
-QUOTE_ID = f"{MICROS} AS at, instrument_symbol AS s, CAST(bid AS DECIMAL(18,6)) AS b, CAST(ask AS DECIMAL(18,6)) AS a, bid_size AS x, ask_size AS y"
+QUOTE_ID = f"{MICROS} AS tm, instrument_symbol AS s, CAST(bid AS DECIMAL(18,6)) AS b, CAST(ask AS DECIMAL(18,6)) AS a, bid_size AS x, ask_size AS y"
 
 
-@query(f"WITH {A.RQ}, k AS (SELECT source_index, {QUOTE_ID} FROM r), d AS (SELECT source_index, min(source_index) OVER (PARTITION BY at, s, b, a, x, y) AS f FROM k) SELECT 4 AS validator, source_index AS row_index, 'WARNING' AS severity, 'duplicate_row' AS code, CAST(NULL AS VARCHAR) AS field_name FROM d WHERE source_index > f")
+@query(f"WITH {A.RQ}, k AS (SELECT source_index, {QUOTE_ID} FROM r), d AS (SELECT source_index, min(source_index) OVER (PARTITION BY tm, s, b, a, x, y) AS f FROM k) SELECT 4 AS validator, source_index AS row_index, 'WARNING' AS severity, 'duplicate_row' AS code, CAST(NULL AS VARCHAR) AS field_name FROM d WHERE source_index > f")
 def duplicate_rows(spark, sf):
     return V.duplicate_issues(A.raw_quotes(spark, sf), "quote")
 
@@ -239,7 +239,7 @@ def conflicting_bars(spark, sf):
 
 
 def _dedup(keep: str) -> str:
-    return f"WITH {A.RQ}, bad AS (SELECT source_index FROM r WHERE CAST(bid AS DECIMAL(18,6)) > CAST(ask AS DECIMAL(18,6))), k AS (SELECT source_index, {QUOTE_ID} FROM r WHERE source_index NOT IN (SELECT source_index FROM bad)) SELECT {keep}(source_index) AS source_index FROM k GROUP BY at, s, b, a, x, y"
+    return f"WITH {A.RQ}, bad AS (SELECT source_index FROM r WHERE CAST(bid AS DECIMAL(18,6)) > CAST(ask AS DECIMAL(18,6))), k AS (SELECT source_index, {QUOTE_ID} FROM r WHERE source_index NOT IN (SELECT source_index FROM bad)) SELECT {keep}(source_index) AS source_index FROM k GROUP BY tm, s, b, a, x, y"
 
 
 @query(_dedup("min"))
@@ -487,7 +487,7 @@ def compare_ranges(spark, sf):
 
 # The packaged weekly rules over January 2024, when Chicago is six hours behind UTC all month.
 WINDOWS_SQL = f"""d AS (SELECT CAST(x AS DATE) AS trading_date, isodow(x) - 1 AS wd FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(x) WHERE isodow(x) <= 5),
- w0 AS (SELECT trading_date, wd, i, state, epoch_us(CAST(trading_date AS TIMESTAMP)) + 6 * {H} + a * 60000000 AS start_us, epoch_us(CAST(trading_date AS TIMESTAMP)) + 6 * {H} + b * 60000000 AS end_us FROM d, (VALUES (0, 'halt', -435, -420), (1, 'trading', -420, 915), (2, 'halt', 915, 930), (3, 'trading', 930, 960)) v(i, state, a, b)),
+ w0 AS (SELECT trading_date, wd, i, state, epoch_us(CAST(trading_date AS TIMESTAMP)) + 6 * {H} + CAST(a AS BIGINT) * 60000000 AS start_us, epoch_us(CAST(trading_date AS TIMESTAMP)) + 6 * {H} + CAST(b AS BIGINT) * 60000000 AS end_us FROM d, (VALUES (0, 'halt', -435, -420), (1, 'trading', -420, 915), (2, 'halt', 915, 930), (3, 'trading', 930, 960)) v(i, state, a, b)),
  w AS (SELECT CASE WHEN wd = 0 AND i = 0 THEN start_us - 2700000000 ELSE start_us END AS start_us, end_us, state, trading_date, 'weekly.' || ['monday', 'tuesday', 'wednesday', 'thursday', 'friday'][wd + 1] || '.' || i AS rule_key FROM w0)"""
 
 
