@@ -82,12 +82,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     several = groups.select(F.xxhash64("sha").alias("h"))
     bloom = Bloom.sized(groups.count(), 24, MOST_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(build_bloom(several, bloom))
-    with_h = hashed.withColumn("h", F.xxhash64("__sha"))
+    with_h = hashed.withColumn("__h", F.xxhash64("__sha"))
 
     def split(wanted: bool):
         def run(batches):
             for batch in batches:
-                found = bloom.has(sent.value, batch["h"].to_numpy())
+                found = bloom.has(sent.value, batch["__h"].to_numpy())
                 yield batch.filter(pa.array(found if wanted else ~found))
 
         return with_h.mapInArrow(run, with_h.schema)

@@ -72,12 +72,12 @@ def _log_length(texts: pa.Array) -> np.ndarray:
 def fit(texts: pa.Array, toxic: np.ndarray, evidence: float = 24.0, penalty: float = 3e-5, rounds: int = 400) -> Model:
     """Buckets count whose 2 x 2 table with the label has a log-likelihood statistic of `evidence` or more.
 
-    Without both labels among the texts, a model that gives their share to all.
+    Without both labels among the texts, a model that gives their share to all; without any, that takes all for clean.
     """
     y = np.asarray(toxic, float)
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
-        return Model(np.zeros(BUCKETS), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return Model(np.zeros(BUCKETS), float(np.log((n1 + 0.5) / (n0 + 1.5))))
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
 
     def blocks():

@@ -156,7 +156,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks for one partition where there is none
+            return
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         fs, path = pafs.FileSystem.from_uri(partition.uri)
