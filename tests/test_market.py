@@ -409,7 +409,7 @@ def test_rolls(spark):
 def test_streamed_frames(spark, tmp_path):
     from tideframe.streaming import replay_stream as T
 
-    rows = [(i, BASE + i // 3 * 10) for i in range(30)]
+    rows = [(i, BASE + i // 3 * 10_000) for i in range(30)]
     for k in range(3):
         part = spark.createDataFrame([(F_, t) for F_, t in rows[k * 10 : k * 10 + 10]], "ordinal bigint, us bigint")
         part.select(F.timestamp_micros("us").alias("timestamp"), F.lit("s").alias("source"), "ordinal", F.lit(1).cast("bigint").alias("size")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

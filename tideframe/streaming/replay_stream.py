@@ -18,7 +18,7 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
 def frames(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """events (timestamp, source, ordinal, size): timestamp, n_events, first_ordinal, last_ordinal, volume, once the watermark passed an instant.
 
-    Instants are kept to the microsecond. Sources don't go back, so no event comes behind the watermark; late_rows() tells if one did.
+    Instants are kept to the microsecond; the watermark counts milliseconds, so frames of the last one wait for later data. Sources don't go back, so no event comes behind the watermark; late_rows() tells if one did.
     """
     own = events.withWatermark("timestamp", delay).groupBy("timestamp")
     return own.agg(F.count(F.lit(1)).alias("n_events"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.sum("size").cast("bigint").alias("volume"))
