@@ -322,6 +322,37 @@ def test_relations(spark):
     assert [x.node for x in L.on_cycles(edges).collect()] == [1, 2, 3, 5]
 
 
+def test_publishing_relations(tmp_path):
+    a, b, c = ("a" * 64, "b" * 64, "c" * 64)
+    about_ = {h: {"record_type": "trade", "contract": CONTRACT, "semantic_hash": h} for h in (a, b, c)}
+    root = str(tmp_path)
+    first, second = L.build_relation(b, [a]), L.build_relation(c, [b])
+    assert L.publish_relation(root, first, about_.__getitem__) and not L.publish_relation(root, first, about_.__getitem__)
+    L.publish_relation(root, second, about_.__getitem__)
+    with pytest.raises(L.LineageCycle):
+        L.publish_relation(root, L.build_relation(a, [c]), about_.__getitem__)
+    assert {r.hash for r in L.published(root)} == {first.hash, second.hash} and L.read_relation(root, first.hash) == first
+    L.verify_index(root)
+    (tmp_path / "lineage-index.json").write_bytes(b"{}")
+    with pytest.raises(L.LineageIndexError):
+        L.verify_index(root)
+    L.rebuild_index(root)
+    L.verify_index(root)
+    with pytest.raises(L.MissingRelation):
+        L.read_relation(root, "d" * 64)
+    (L.relations_folder(root) / "x.json.1.partial").write_bytes(b"")
+    assert L.partials(root) == ["x.json.1.partial"]
+    with pytest.raises(KeyError):
+        L.publish_relation(root, L.build_relation("d" * 64, [a]), about_.__getitem__)
+
+
+def test_provenance():
+    assert G.transformation("symbol-mapping", {"ESM6": CONTRACT}, 2)["symbol_mapping"] == [["ESM6", CONTRACT]]
+    for bad in (lambda: G.transformation("none", {"ESM6": CONTRACT}), lambda: G.transformation("symbol-mapping", {"ESM6": "ESM6"}), lambda: G.source_provenance("imported", "feed a"), lambda: G.source_provenance("found")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def artifact(spark, path, contract=CONTRACT, n=3):
     from decimal import Decimal
 
@@ -337,7 +368,7 @@ def test_catalog(spark, tmp_path):
     df = artifact(spark, store / "x.parquet")
     back, _ = S.read_artifact(spark, str(store / "x.parquet"))
     assert M.multiset(df, back.select(df.columns), *df.columns).first().same_multiset
-    m = G.build_manifest(spark, str(store / "x.parquet"), {"origin": "import"})
+    m = G.build_manifest(spark, str(store / "x.parquet"), G.source_provenance("imported", "FEED_A"))
     assert G.parse_manifest(N.canonical_json(m)) == m
     with pytest.raises(G.ManifestHashMismatch):
         G.parse_manifest(N.canonical_json(m | {"row_count": 4}))

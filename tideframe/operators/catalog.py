@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -72,6 +73,29 @@ class ReadBackFailed(ValueError):
     """What was written isn't what was to be written."""
 
 
+# Fixed tokens of how a dataset came about.
+ORIGINS = ("imported", "migrated-from-v2")
+TRANSFORMATIONS = ("none", "symbol-mapping")
+
+
+def source_provenance(origin: str, provider_token: str | None = None, source_artifact_hash: str | None = None, vendor_symbols: tuple[str, ...] = ()) -> dict[str, Any]:
+    """Where a dataset's rows come from; symbols are listed once each, sorted, so that row order can't show."""
+    if origin not in ORIGINS or provider_token is not None and not re.fullmatch("[A-Z0-9_]{1,32}", provider_token):
+        raise ValueError(f"origin {origin!r} or provider token {provider_token!r}")
+    if source_artifact_hash is not None and not re.fullmatch("[0-9a-f]{64}", source_artifact_hash):
+        raise ValueError(f"not a digest: {source_artifact_hash!r}")
+    if any(not v.strip() for v in vendor_symbols):
+        raise ValueError("a blank vendor symbol")
+    return {"origin": origin, "provider_token": provider_token, "source_artifact_hash": source_artifact_hash, "vendor_symbols": sorted(set(vendor_symbols))}
+
+
+def transformation(kind: str = "none", mapping: dict[str, str] | None = None, source_schema_version: int | None = None) -> dict[str, Any]:
+    """What was done to the rows; only a mapping has pairs, sorted by symbol, and one of an empty dataset may have none."""
+    if kind not in TRANSFORMATIONS or kind == "none" and mapping:
+        raise ValueError(f"transformation {kind!r} with {mapping}")
+    return {"kind": kind, "symbol_mapping": [[k, validate_contract(v)] for k, v in sorted((mapping or {}).items())], "source_schema_version": source_schema_version}
+
+
 def semantic_columns(kind: str) -> dict[str, Any]:
     cols = {"timestamp": F.col("at_us"), "interval": F.col("interval_us") if kind == "bar" else F.lit(None)}
     for n, _ in STORED[kind]:
@@ -88,8 +112,8 @@ def describe(records: DataFrame) -> dict[str, Any]:
     return {"row_count": r.n, "min_timestamp": r.lo, "max_timestamp": r.hi, "symbols": list(r.symbols)}
 
 
-def build_manifest(spark: SparkSession, path: str, source: dict[str, Any], transformation: dict[str, Any] | None = None) -> dict[str, Any]:
-    """The manifest of an artifact; its hash covers all but itself, and no location."""
+def build_manifest(spark: SparkSession, path: str, source: dict[str, Any], transformed: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The manifest of an artifact; its hash covers all but itself, and no location. Vendor symbols are read from the rows."""
     records, found = storage.read_artifact(spark, path)
     if int(found["schema_version"]) != VERSION:
         raise SchemaMismatch(f"{path} has storage version {found['schema_version']}")
@@ -105,7 +129,7 @@ def build_manifest(spark: SparkSession, path: str, source: dict[str, Any], trans
         "min_timestamp": facts["min_timestamp"],
         "max_timestamp": facts["max_timestamp"],
         "source": source | {"vendor_symbols": facts["symbols"]},
-        "transformation": transformation or {"kind": "none", "symbol_mapping": []},
+        "transformation": transformed or transformation(),
     }
     return payload | {"manifest_hash": manifest_hash(payload)}
 

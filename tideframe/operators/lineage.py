@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -26,6 +30,14 @@ class LineageCycle(LineageError):
     """A relation that would make a dataset its own ancestor."""
 
 
+class MissingRelation(LineageError):
+    """No relation of that hash."""
+
+
+class LineageIndexError(LineageError):
+    """An index that isn't what the relations say."""
+
+
 class RelationHashMismatch(LineageError):
     """A document that isn't what its name or its own hash says."""
 
@@ -171,3 +183,86 @@ def index(edges: DataFrame) -> DataFrame:
 
 def index_document(rows: list[tuple[str, list[str]]]) -> bytes:
     return canonical_json({"format": INDEX_FORMAT, "entries": [{"manifest_hash": m, "relation_hashes": sorted(r)} for m, r in sorted(rows)]})
+
+
+def relations_folder(root: str) -> Path:
+    return Path(root) / "lineage"
+
+
+def published(root: str) -> list[Relation]:
+    """All relations of a catalog, by hash, each held against its name and its own bytes."""
+    out = []
+    for path in sorted(relations_folder(root).glob("*.json")):
+        found = parse_relation(path.read_bytes())
+        if found.hash != path.stem:
+            raise RelationHashMismatch(path.name)
+        out.append(found)
+    return out
+
+
+def read_relation(root: str, digest: str) -> Relation:
+    path = relations_folder(root) / f"{digest}.json"
+    if not path.exists():
+        raise MissingRelation(digest)
+    found = parse_relation(path.read_bytes())
+    if found.hash != digest:
+        raise RelationHashMismatch(digest)
+    return found
+
+
+def pairs_of(relations: list[Relation]) -> list[tuple[str, str]]:
+    return [(p, r.successor) for r in relations for p in r.predecessors]
+
+
+def verify_acyclic(root: str) -> None:
+    if cycle := find_cycle(pairs_of(published(root))):
+        raise LineageCycle(" to ".join(cycle))
+
+
+def publish_relation(root: str, relation: Relation, manifest: Callable[[str], dict[str, str]]) -> bool:
+    """Adds a relation between published manifests (manifest gives one by hash, or fails) and refreshes the index; False if it was there.
+
+    A catalog that already has a cycle takes nothing, and no relation may make one. The index can be derived again, so its loss is no
+    failure.
+    """
+    from .catalog import publish
+
+    verify_acyclic(root)
+    validate_relation(manifest(relation.successor), [manifest(p) for p in relation.predecessors])
+    if cycle := find_cycle(pairs_of([*published(root), relation])):
+        raise LineageCycle(" to ".join(cycle))
+    new = publish(relations_folder(root) / f"{relation.hash}.json", relation.document())
+    with contextlib.suppress(OSError):
+        rebuild_index(root)
+    return new
+
+
+def index_rows(relations: list[Relation]) -> list[tuple[str, list[str]]]:
+    out: dict[str, set[str]] = {}
+    for r in relations:
+        for m in (r.successor, *r.predecessors):
+            out.setdefault(m, set()).add(r.hash)
+    return [(m, sorted(h)) for m, h in sorted(out.items())]
+
+
+def rebuild_index(root: str) -> bytes:
+    """The index as the relations themselves say, written whole or not at all."""
+    raw = index_document(index_rows(published(root)))
+    path = Path(root) / "lineage-index.json"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    partial = path.with_name(f"{path.name}.{os.getpid()}")
+    partial.write_bytes(raw)
+    os.replace(partial, path)
+    return raw
+
+
+def verify_index(root: str) -> None:
+    path = Path(root) / "lineage-index.json"
+    held = path.read_bytes() if path.exists() else index_document([])
+    if held != index_document(index_rows(published(root))):
+        raise LineageIndexError("the index isn't what the relations say")
+
+
+def partials(root: str) -> list[str]:
+    """Files that a broken-off publication left."""
+    return sorted(p.name for p in relations_folder(root).glob("*.partial"))
