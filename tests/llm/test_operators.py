@@ -47,8 +47,11 @@ def test_encoder_gives_the_librarys_ids(name):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", None, " "]
     own = Encoder(vocabulary(name))
     ids, bounds = own.encode(pa.array(texts, pa.string()))
-    for i, x in enumerate(own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == x.ids, texts[i]
+    want = [x.ids for x in own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for i, x in enumerate(want):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == x, texts[i]
+    ids, bounds = own.encode(pa.array(texts, pa.string()).slice(1000, 500))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want[1000:1500]
 
 
 def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):

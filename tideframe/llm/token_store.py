@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,13 +51,13 @@ def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     rolled = x.copy()
     for j in range(1, WINDOW):
         rolled[j:] += x[:-j] << np.uint64(j)
-    marks = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN_CHUNK - MIN_CHUNK) == 0) + 1
+    marks = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN_CHUNK - MIN_CHUNK) == 0) + 1).tolist()
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         ends, at = [], a
         while b - at > MIN_CHUNK:
-            k = np.searchsorted(marks, at + MIN_CHUNK)
-            end = min(int(marks[k]) if k < len(marks) else b, at + MAX_CHUNK, b)
+            k = bisect_left(marks, at + MIN_CHUNK)
+            end = min(marks[k] if k < len(marks) else b, at + MAX_CHUNK, b)
             ends.append(end - a)
             at = end
         if at < b:
@@ -69,7 +70,7 @@ def _chunker(path: str, end_id: int):
     def run(batches):
         sent: set[bytes] = set()  # of this task: a chunk's ids leave it once
         for big in batches:
-            for batch in batches_by_bytes(big, "text", 4_000_000):
+            for batch in batches_by_bytes(big, "text"):
                 ids, bounds = with_end(*encoder(path).encode(batch["text"]), end_id)
                 raw = np.ascontiguousarray(ids, "<u4")
                 narrow = raw.astype("<u2") if len(raw) and int(raw.max()) < 1 << 16 else raw

@@ -2,23 +2,22 @@
 
 Both tokenizers split a text before they merge, and never across the space between two words, so a text's ids are those
 of its space-separated chunks in a row. Encoding a chunk costs far more than finding it, so a worker keeps the ids of the
-chunks it has met (at most MEMO of them). Texts in which a space touches other white space, or begins or ends the text,
+words it has met (at most 2 MEMO of them). Texts in which a space touches other white space, or begins or ends the text,
 are encoded whole, as there the split of white space depends on both sides.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks whose ids a worker keeps.
-MEMO = 1_000_000
+#: Words whose ids a worker keeps in each of two generations: those met since the last one was full, and those before.
+MEMO = 700_000
 _ODD = r"(^ )|( $)|([\s\pZ\x{85}\x{1c}-\x{1f}] [\s\pZ\x{85}\x{1c}-\x{1f}])"
-_WORD = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
+TAIL = ".,;:!?|"
 
 
 class Encoder:
@@ -33,40 +32,47 @@ class Encoder:
         self.joined = self._ids([" a"])[0] != self._ids(["a"])[0]
         self.lowers = self._ids(["A"])[0] == self._ids(["a"])[0]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, texts: list[str]) -> list[bytes]:
-        """Ids of chunks; those of a word and the punctuation behind it are found apart, so that each word is encoded once."""
+        """Ids of chunks. Those of a word and of the punctuation behind it are found apart, so that each word is encoded once."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
         found = list(map(memo.get, texts))
         new, parts, missing = [i for i, x in enumerate(found) if x is None], [], {}
         for i in new:
             t = texts[i]
-            m = _WORD.fullmatch(t, 1 if self.joined and t[:1] == " " else 0)
-            if m and m[2] and m[1].isalpha() and (not self.lowers or m[1].isascii() or m[1].lower().isalpha()):
-                own = (t[: m.end(1)], m[2])
-            else:
-                own = (t,)
-            if self.lowers and own[0].isascii():
-                own = (own[0].lower(), *own[1:])
+            w = t.rstrip(TAIL)
+            own = (t,)
+            if len(w) < len(t):
+                letters = w[1:] if self.joined and w[:1] == " " else w
+                # What a letter's small form adds, such as a dot above, would go with the punctuation.
+                if letters.isalpha() and (not self.lowers or w.isascii() or w.lower().isalpha()):
+                    own = (w, t[len(w) :])
             parts.append(own)
             for x in own:
                 if x not in memo:
-                    missing[x] = None
+                    if (ids := old.get(x)) is not None:
+                        memo[x] = ids
+                    else:
+                        missing[x] = None
         if missing:
             words = list(missing)
             memo.update(zip(words, self._ids(words)))
         for i, own in zip(new, parts):
-            memo[texts[i]] = found[i] = memo[own[0]] if len(own) == 1 else memo[own[0]] + memo[own[1]]
+            found[i] = memo[own[0]] if len(own) == 1 else memo[own[0]] + memo[own[1]]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry than texts). Null counts as empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.lowers:  # the tokenizer would; so words are alike before they are looked up
+            # Put together anew, as ascii_lower takes a slice for a whole array.
+            texts = pc.ascii_lower(pa.concat_arrays([texts, texts.slice(0, 0)]))
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
