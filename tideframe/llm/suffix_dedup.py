@@ -315,7 +315,7 @@ def repeated_stretches(docs: DataFrame, batches: int = BATCHES, group_runs: int
 def _cut(batches):
     for big in batches:
         for batch in batches_by_bytes(big, "text", 8_000_000):
-            bounds = batch["spans"].to_pylist()
+            bounds = batch["spans"].to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             rows = []
             for t, spans in zip(pc.fill_null(batch["text"], "").cast(pa.large_binary()).to_pylist(), bounds):
                 n_removed = n_spans = at = 0
@@ -345,17 +345,14 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, group_runs: int = GR
     bloom = Bloom.sized(spans.count(), 16)
     sent = spark.sparkContext.broadcast(build_bloom(spans.select("row"), bloom))
 
-    def split(wanted: bool):
-        def run(batches):
-            for batch in batches:
-                found = bloom.has(sent.value, batch["row"].to_numpy())
-                yield batch.filter(pa.array(found if wanted else ~found))
-
-        return own.mapInArrow(run, own.schema)
+    def chosen(batches, wanted: bool):
+        for batch in batches:
+            found = bloom.has(sent.value, batch["row"].to_numpy())
+            yield batch.filter(pa.array(found if wanted else ~found))
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     # Texts without stretches aren't shuffled.
-    through = split(False).withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    met = split(True).alias("d").join(spans.alias("s"), F.col("d.row").eqNullSafe(F.col("s.row")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    through = own.mapInArrow(lambda batches: _cut(chosen(batches, False)), schema)
+    met = own.mapInArrow(lambda batches: chosen(batches, True), own.schema).alias("d").join(spans.alias("s"), F.col("d.row").eqNullSafe(F.col("s.row")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
     met = met.select("d.doc_id", "d.text", "s.spans")
-    return through.select("doc_id", "text", "spans").mapInArrow(_cut, schema).unionByName(met.mapInArrow(_cut, schema))
+    return through.unionByName(met.mapInArrow(_cut, schema))
