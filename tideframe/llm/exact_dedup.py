@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, Bloom, build_bloom, plain, staged
+from .tokens import release
 
 BITS_PER_KEY = 16
 MOST_BITS = 1 << 28
@@ -46,6 +47,7 @@ def flag_repeated(rows: DataFrame, filters: list[tuple[Bloom, np.ndarray]]) -> D
         sent = spark.sparkContext.broadcast(plane)
 
         def run(batches, bloom=bloom, sent=sent):
+            release()
             for batch in batches:
                 found = bloom.has(sent.value, batch["h"].to_numpy())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
@@ -86,6 +88,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     def split(wanted: bool):
         def run(batches):
+            release()
             for batch in batches:
                 found = bloom.has(sent.value, batch["__h"].to_numpy())
                 yield batch.filter(pa.array(found if wanted else ~found))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, Bloom, batches_by_bytes, build_bloom, plain, staged
+from .tokens import release
 
 WORDS = 5
 TREES, DEPTH = 24, 8
@@ -118,8 +119,9 @@ def prefixes(own: np.ndarray, depth: int) -> np.ndarray:
 
 def _sign(depth: int):
     def run(batches):
+        release()
         for big in batches:
-            for batch in batches_by_bytes(big, "text", 4_000_000):
+            for batch in batches_by_bytes(big, "text", 2_000_000):
                 sets = shingles(batch["text"])
                 key = [_mix(s * _MIX + np.uint64(len(s))) for s in sets]
                 k1 = np.array([np.bitwise_xor.reduce(k) ^ np.uint64(len(k)) if len(k) else 0 for k in key], np.uint64).view(np.int64)
@@ -214,6 +216,7 @@ def _verify(threshold: float):
         return pa.record_batch([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["doc_id", "n_links", "nearest"])
 
     def run(batches):
+        release()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -258,10 +261,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = REC
     sent = spark.sparkContext.broadcast(build_bloom(groups.select("doc_id"), bloom))
 
     def sets_of(batches):
+        release()
         for big in batches:
             big = big.filter(pc.is_valid(big["doc_id"]))
             big = big.filter(pa.array(bloom.has(sent.value, big["doc_id"].to_numpy())))
-            for batch in batches_by_bytes(big, "text", 4_000_000):
+            for batch in batches_by_bytes(big, "text", 2_000_000):
                 yield pa.record_batch([batch["doc_id"], pa.array([s.tobytes() for s in shingles(batch["text"])], pa.binary())], names=["doc_id", "raw"])
 
     raw = own.mapInArrow(sets_of, "doc_id bigint, raw binary").dropDuplicates(["doc_id"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps in each of two generations: those met since the last one was full, and those before.
-MEMO = 700_000
+MEMO = 500_000
 _ODD = r"(^ )|( $)|([\s\pZ\x{85}\x{1c}-\x{1f}] [\s\pZ\x{85}\x{1c}-\x{1f}])"
 TAIL = ".,;:!?|"
 
@@ -108,6 +108,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Frees the words that this worker keeps: workers live on after their stage, and the next one may need the room."""
+    _encoders.clear()
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's ids with end_id behind them."""
     at = bounds[1:]

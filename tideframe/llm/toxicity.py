@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, plain
+from .tokens import release
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -154,6 +155,7 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.intercept, model.per_length))  # 4 MB at any size
 
     def run(batches):
+        release()
         own = Model(*sent.value)
         for big in batches:
             for batch in batches_by_bytes(big, "text", 500_000):
