@@ -45,13 +45,15 @@ SEGMENT_DOCS = 50_000
 
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """For each document, the ends of its chunks, counted from its first id. Ends depend on ids since the chunk's start only."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
     rolled = x.copy()
     for j in range(1, WINDOW):
-        rolled[j:] += x[:-j] << np.uint64(j)
-    marks = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN_CHUNK - MIN_CHUNK) == 0) + 1).tolist()
+        rolled[j:] += x[:-j] << np.uint32(j)
+    rolled >>= np.uint32(9)
+    rolled %= np.uint32(MEAN_CHUNK - MIN_CHUNK)
+    marks = (np.flatnonzero(rolled == 0) + 1).tolist()
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         ends, at = [], a
@@ -84,7 +86,7 @@ def _chunker(path: str, end_id: int):
                         sent.add(d)
                         at = end
                     rows.append((digests, lengths, bodies))
-                    if len(sent) > 300_000:
+                    if len(sent) > 100_000:
                         sent.clear()
                 yield pa.record_batch(
                     [

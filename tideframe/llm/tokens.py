@@ -77,7 +77,7 @@ class Encoder:
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         words = split.flatten().dictionary_encode()
-        codes, known = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        codes, known = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
         if self.joined:
             begins = [known[c] for c in codes[first].tolist()]
             codes[first] = np.arange(len(known), len(known) + len(first))
@@ -86,14 +86,17 @@ class Encoder:
             whole = texts.filter(pa.array(odd)).to_pylist()
             codes[first[odd]] = np.arange(len(known), len(known) + len(whole))
         found = self._chunks(known) + (self._ids(whole) if odd.any() else [])
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # A text holds fewer than 2**31 bytes and a slice not many more, so 32 bits number all ids.
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
-        starts = np.cumsum(lengths) - lengths
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         each = lengths[codes]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.append(first, len(codes))]
+        at = np.repeat(starts[codes] - (ends - each), each)
+        at += np.arange(total, dtype=np.int32)
+        ids = pool[at]
+        bounds = np.concatenate([np.zeros(1, np.int64), ends])[np.append(first, len(codes))]
         return ids, bounds
 
 
