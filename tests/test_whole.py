@@ -54,3 +54,25 @@ def test_lineage_of_all_orders(spark, orders):
         if b % 97 == 0 and a > 3:
             out[b].append(a // 2)
     assert rows_of(Q.lineage_cycles(spark, orders)) == sorted((x,) for x in list(out) if x in below(x, out))
+
+
+def test_overlaps_of_all_trades(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda i: datetime(2024, 1, 1) + timedelta(hours=i * 37 % 200)
+    events = [(i, at(i), i % 4, "purchase", 1.5) for i in range(60)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spans = {}
+    for i, t, user, *_ in events:
+        lo, hi = spans.get((user, i % 7 + 1), (t, t))
+        spans[user, i % 7 + 1] = min(lo, t), max(hi, t)
+    name = lambda k: f"U{k[0]}/{k[1]}"
+    want = sorted((name(x), name(y)) for x in spans for y in spans if x[0] == y[0] and name(x) < name(y) and spans[x][1] >= spans[y][0] and spans[y][1] >= spans[x][0])
+    assert want and rows_of(Q.replay_overlap_conflicts(spark, str(tmp_path)).select("a", "b")) == want
+
+
+def test_locations_of_all_orders(spark, tmp_path):
+    spark.range(50).toDF("o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(k, n, k * 10 + n) for k in range(45) for n in range(1, k % 4 + 1)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows_of(Q.catalog_locate(spark, str(tmp_path))) == sorted((sha(k), f"f/{k}/{n}/{p}") for k, n, p in items)

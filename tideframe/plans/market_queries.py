@@ -91,7 +91,7 @@ def replay_range(spark, sf):
 
 @query(f"WITH {A.T}, s AS (SELECT symbol, size, min(at_us) AS lo, max(at_us) AS hi FROM t WHERE ordinal % 50 = 0 GROUP BY symbol, size) SELECT x.symbol || '/' || x.size AS a, y.symbol || '/' || y.size AS b FROM s x JOIN s y ON x.symbol = y.symbol AND x.symbol || '/' || x.size < y.symbol || '/' || y.size AND x.hi >= y.lo AND y.hi >= x.lo")
 def replay_overlap_conflicts(spark, sf):
-    t = A.trades(spark, sf).where("ordinal % 50 = 0").withColumn("source", F.concat_ws("/", "symbol", "size"))
+    t = A.trades(spark, sf).withColumn("source", F.concat_ws("/", "symbol", "size"))
     about = t.groupBy("source").agg(F.min("symbol").alias("contract")).withColumn("record_type", F.lit("trade"))
     return R.overlaps(R.spans(t).join(about, "source"))
 
@@ -666,7 +666,7 @@ def catalog_best_outcome(spark, sf):
 @query("SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS manifest_hash, 'f/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS location FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0")
 def catalog_locate(spark, sf):
     o, l = A.load(spark, sf, "orders"), A.load(spark, sf, "lineitem")
-    m = o.where("o_orderkey % 20 = 0").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("manifest_hash"), F.col("o_orderkey").alias("physical_hash"))
+    m = o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("manifest_hash"), F.col("o_orderkey").alias("physical_hash"))
     entries = l.select(F.col("l_orderkey").alias("physical_hash"), F.concat(F.lit("f/"), F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey")).alias("location"))
     return G.locate(m, entries)
 
