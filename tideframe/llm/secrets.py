@@ -5,6 +5,8 @@ labelled credentials: for each kind a prefix tree of them is folded into a proba
 next symbols and endings a Hoeffding bound can't tell apart. Every other run of credential characters in every text is then
 scored by the likelihood of its format: the mean log-likelihood of its characters under the best automaton, less that under
 a model of ordinary runs. Runs above a threshold, set on ordinary runs of the sample, are added as spans of the kind `format`.
+Ordinary are words and numbers, also joined by punctuation, whatever else the texts hold: a source full of bare credentials
+doesn't make them ordinary.
 
 Null and empty texts have no spans. Spans count code points, the end is exclusive; repeated rows are scanned each. Texts are
 scanned whole. Without labelled credentials there are no automata and no spans beyond the patterns'.
@@ -34,6 +36,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
+#: The alphabet of labelled values; what in it joins words and numbers; a word in one case or capitalised, or a number.
+WIDE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+JOINTS = re.compile(r"[+/_.=-]+")
+PLAIN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9]+")
 #: What a text must hold for any of these to match, for a quick look at a batch.
 _HINT = r"(?i)(password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}"
 _DIGIT = r"[0-9]"
@@ -62,6 +68,33 @@ def other_runs(text: str, spans: Sequence[tuple[str, int, int]]) -> list[tuple[i
     return out
 
 
+def wide_runs(text: str, spans: Sequence[tuple[str, int, int]], least: int) -> list[tuple[int, int]]:
+    """What base spans (by start) leave of the runs of the labelled alphabet, without full stops around it, if it has `least` characters."""
+    out, i = [], 0
+    for m in WIDE.finditer(text):
+        a, end = m.span()
+        if end - a < least:
+            continue
+        while a < end:
+            while i < len(spans) and spans[i][2] <= a:
+                i += 1
+            b = min(end, max(a, spans[i][1])) if i < len(spans) else end
+            x, y = a, b
+            while x < y and text[x] == ".":
+                x += 1
+            while x < y and text[y - 1] == ".":
+                y -= 1
+            if y - x >= least:
+                out.append((x, y))
+            a = spans[i][2] if b < end else end
+    return out
+
+
+def ordinary(run: str) -> bool:
+    """Whether a run is words and numbers, also joined by punctuation."""
+    return all(not part or PLAIN.fullmatch(part) for part in JOINTS.split(run))
+
+
 @dataclass
 class Automaton:
     """A deterministic probabilistic automaton: for each state, symbol counts with their targets, and how often words end there."""
@@ -178,17 +211,17 @@ def fit_formats(labelled: Sequence[tuple[str, str]]) -> Formats | None:
     by = defaultdict(list)
     for kind, value in sorted(set(labelled)):
         by[kind].append(value)
-    ordinary = by.pop("ordinary", [])
+    others = by.pop("ordinary", [])
     if not by:
         return None
     kinds = {k: infer(v) for k, v in sorted(by.items())}
     usual = Automaton()
-    for w in ordinary:  # one state: characters as they come in ordinary runs
+    for w in others:  # one state: characters as they come in ordinary runs
         for c in w:
             usual.moves[0].setdefault(c, [0, 0])[1] += 1
         usual.ends[0] += 1
     plainest = Formats(kinds, usual, 0.0)
-    scores = sorted(plainest.score(w) for w in ordinary)
+    scores = sorted(plainest.score(w) for w in others)
     own = sorted(plainest.score(w) for v in by.values() for w in v)
     # Above nearly all ordinary runs, and no lower than the weakest twentieth of the credentials.
     return Formats(kinds, usual, max(scores[int(0.99 * (len(scores) - 1))] if scores else 0.0, own[len(own) // 20], 0.1))
@@ -205,8 +238,7 @@ def _labels_of(batches):
                 for kind, a, b in spans:
                     value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                     rows.add((kind, value))
-                rows.update(("ordinary", text[a:b]) for a, b in other_runs(text, spans))
-                rows.update(("ordinary", w) for w in re.findall(r"[A-Za-z]{12,}", text)[:3])
+                rows.update(("ordinary", text[a:b]) for a, b in wide_runs(text, spans, ASSIGN_LEAST) if ordinary(text[a:b]))
             rows = sorted(r for r in rows if len(r[1]) <= LONGEST)
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
 
