@@ -29,3 +29,19 @@ def test_a_hot_source_of_bare_keys(spark):
     got = {r.doc_id: r.n_format for r in find_secrets(table(spark, texts)).collect()}
     assert sum(got[i] > 0 for i in range(100, 400)) > 270
     assert sum(got[i] > 0 for i in range(400, 500)) < 5
+
+
+def test_labels_come_from_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    from tideframe.llm import secrets as S
+
+    rng = random.Random(4)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(7)]
+    held = F.element_at(F.array(*map(F.lit, keys)), (F.col("id") / 3000 + 1).cast("int"))
+    rare = F.when(F.col("id") % 3000 == 17, held).otherwise("")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("token="), F.concat(F.lit("secret="), F.md5(F.col("id").cast("string"))), rare).alias("text"))
+    got = S.labelled_credentials(docs)
+    assert {v for k, v in got if k == "access"} == set(keys)
+    assert sum(k == "assign" for k, _ in got) == S.SAMPLE_RUNS == len({v for k, v in got if k == "assign"})
+    assert sorted(got) == sorted(S.labelled_credentials(docs.repartition(7)))

@@ -1,10 +1,10 @@
 """Secret scans: patterns, and formats learned by grammar inference from labelled credentials.
 
-The patterns find what is written as a credential (assign, access, hex). Their matches in a bounded sample of documents are
-labelled credentials: for each kind a prefix tree of them is folded into a probabilistic automaton, merging states whose
+The patterns find what is written as a credential (assign, access, hex). Their matches in all documents, the first by hash up
+to a bound, are labelled credentials: for each kind a prefix tree of them is folded into a probabilistic automaton, merging states whose
 next symbols and endings a Hoeffding bound can't tell apart. Every other run of credential characters in every text is then
 scored by the likelihood of its format: the mean log-likelihood of its characters under the best automaton, less that under
-a model of ordinary runs. Runs above a threshold, set on ordinary runs of the sample, are added as spans of the kind `format`.
+a model of ordinary runs. Runs above a threshold, set on ordinary runs, are added as spans of the kind `format`.
 Ordinary are words and numbers, also joined by punctuation, whatever else the texts hold: a source full of bare credentials
 doesn't make them ordinary.
 
@@ -44,8 +44,8 @@ PLAIN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9]+")
 _HINT = r"(?i)(password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}"
 _DIGIT = r"[0-9]"
 
-#: Documents of the labelled sample, about; credentials and ordinary runs of each kind that a fit sees, at most; their longest length.
-SAMPLE_DOCS, SAMPLE_RUNS, LONGEST = 4000, 400, 128
+#: Credentials and ordinary runs of each kind that a fit sees, at most; their longest length; cells of their hashes.
+SAMPLE_RUNS, LONGEST, CELLS = 400, 128, 16
 #: Symbols that a credential can have, for smoothing.
 ALPHABET = 68
 
@@ -228,6 +228,9 @@ def fit_formats(labelled: Sequence[tuple[str, str]]) -> Formats | None:
 
 
 def _labels_of(batches):
+    """The values of each kind with the lowest hashes, SAMPLE_RUNS at most, of all texts of a task."""
+    first: dict[str, dict[str, int]] = defaultdict(dict)
+    bar: dict[str, int] = {}
     for big in batches:
         for batch in batches_by_bytes(big, "text"):
             rows = set()
@@ -239,17 +242,36 @@ def _labels_of(batches):
                     value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                     rows.add((kind, value))
                 rows.update(("ordinary", text[a:b]) for a, b in wide_runs(text, spans, ASSIGN_LEAST) if ordinary(text[a:b]))
-            rows = sorted(r for r in rows if len(r[1]) <= LONGEST)
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
+            for kind, value in rows:
+                if len(value) > LONGEST:
+                    continue
+                order = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest()) >> 1
+                if order > bar.get(kind, order):
+                    continue
+                own = first[kind]
+                own[value] = order
+                if len(own) >= 2 * SAMPLE_RUNS:
+                    first[kind] = own = dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[:SAMPLE_RUNS])
+                    bar[kind] = max(own.values())
+    rows = [(kind, v, o) for kind, own in first.items() for v, o in sorted(own.items(), key=lambda x: (x[1], x[0]))[:SAMPLE_RUNS]]
+    yield pa.record_batch(
+        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
+        names=["kind", "value", "order"],
+    )
 
 
 def labelled_credentials(docs: DataFrame) -> list[tuple[str, str]]:
-    """Matches and ordinary runs of about SAMPLE_DOCS documents, chosen by hash, SAMPLE_RUNS at most of each kind."""
-    share = max(1, docs.count() // SAMPLE_DOCS)
-    sample = plain(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(share)) == 0)
-    found = sample.select("text").mapInArrow(_labels_of, "kind string, value string").distinct()
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value", F.lit(2)), "value"))
-    return [tuple(r) for r in found.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_RUNS).select("kind", "value").collect()]
+    """Matches and ordinary runs of all documents: of each kind the SAMPLE_RUNS distinct values with the lowest hashes.
+
+    Tasks, then cells of the hash, keep SAMPLE_RUNS values of a kind each, so the driver gets CELLS times as many at most.
+    """
+    found = plain(docs, "text").mapInArrow(_labels_of, "kind string, value string, order bigint").distinct()
+    rank = F.row_number().over(Window.partitionBy("kind", F.pmod("order", F.lit(CELLS))).orderBy("order", "value"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_RUNS).select("kind", "order", "value").collect()
+    by = defaultdict(list)
+    for r in sorted(rows):
+        by[r.kind].append(r.value)
+    return [(kind, v) for kind, values in by.items() for v in values[:SAMPLE_RUNS]]
 
 
 def joined(spans: Sequence[tuple[str, int, int]]) -> str:
