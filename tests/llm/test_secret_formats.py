@@ -45,3 +45,18 @@ def test_labels_come_from_all_documents(spark):
     assert {v for k, v in got if k == "access"} == set(keys)
     assert sum(k == "assign" for k, _ in got) == S.SAMPLE_RUNS == len({v for k, v in got if k == "assign"})
     assert sorted(got) == sorted(S.labelled_credentials(docs.repartition(7)))
+
+
+def test_short_dotted_and_digit_free_credentials(spark):
+    from tideframe.llm.secrets import find_secrets
+
+    rng = random.Random(6)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    makers = [lambda: some(10, CODE), lambda: ".".join(some(9, CODE) for _ in range(3)), lambda: some(18, CODE[:24])]
+    texts = [f"{prose(rng)} token={m()} {prose(rng)}" for m in makers for _ in range(100)]
+    texts += [f"{prose(rng)} {m()}. {prose(rng)}" for m in makers for _ in range(50)] + [prose(rng) for _ in range(100)]
+    got = {r.doc_id: r for r in find_secrets(table(spark, texts)).collect()}
+    for k in range(3):
+        assert sum(got[300 + 50 * k + i].n_format > 0 for i in range(50)) > 35, k
+    assert sum(got[i].n_format > 0 for i in range(450, 550)) < 10
+    assert all(not texts[i][int(r.spans.split(":")[2]) - 1] == "." for i, r in got.items() if r.spans and i >= 300)

@@ -1,10 +1,11 @@
 """Secret scans: patterns, and formats learned by grammar inference from labelled credentials.
 
 The patterns find what is written as a credential (assign, access, hex). Their matches in all documents, the first by hash up
-to a bound, are labelled credentials: for each kind a prefix tree of them is folded into a probabilistic automaton, merging states whose
-next symbols and endings a Hoeffding bound can't tell apart. Every other run of credential characters in every text is then
-scored by the likelihood of its format: the mean log-likelihood of its characters under the best automaton, less that under
-a model of ordinary runs. Runs above a threshold, set on ordinary runs, are added as spans of the kind `format`.
+to a bound, are labelled credentials: for each kind a prefix tree of them is folded into a probabilistic automaton, merging
+states whose next symbols and endings a Hoeffding bound can't tell apart. Every other run of credential characters in every
+text that is as long as the shortest of them, digits or not, is then scored by the likelihood of its format: the mean
+log-likelihood of its characters under the best automaton, less that under a model of ordinary runs. Runs above a threshold,
+set on ordinary runs, are added as spans of the kind `format`.
 Ordinary are words and numbers, also joined by punctuation, whatever else the texts hold: a source full of bare credentials
 doesn't make them ordinary.
 
@@ -34,15 +35,13 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
-#: The alphabet of labelled values; what in it joins words and numbers; a word in one case or capitalised, or a number.
-WIDE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: The alphabet of labelled values; what in it joins words and numbers; a word in small letters or capitalised, or a number.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 JOINTS = re.compile(r"[+/_.=-]+")
-PLAIN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9]+")
+PLAIN = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 #: What a text must hold for any of these to match, for a quick look at a batch.
 _HINT = r"(?i)(password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}"
-_DIGIT = r"[0-9]"
 
 #: Credentials and ordinary runs of each kind that a fit sees, at most; their longest length; cells of their hashes.
 SAMPLE_RUNS, LONGEST, CELLS = 400, 128, 16
@@ -58,20 +57,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def other_runs(text: str, spans: Sequence[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 or more credential characters with a digit that touch no base span."""
-    out = []
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        if not m[0].isalpha() and any(c.isdigit() for c in m[0]) and not any(a < e and s < b for _, s, e in spans):
-            out.append((a, b))
-    return out
-
-
-def wide_runs(text: str, spans: Sequence[tuple[str, int, int]], least: int) -> list[tuple[int, int]]:
+def other_runs(text: str, spans: Sequence[tuple[str, int, int]], least: int) -> list[tuple[int, int]]:
     """What base spans (by start) leave of the runs of the labelled alphabet, without full stops around it, if it has `least` characters."""
     out, i = [], 0
-    for m in WIDE.finditer(text):
+    for m in RUN.finditer(text):
         a, end = m.span()
         if end - a < least:
             continue
@@ -196,11 +185,12 @@ def infer(words: Sequence[str], alpha: float = 0.05) -> Automaton:
 
 @dataclass(frozen=True)
 class Formats:
-    """Automata of the labelled kinds, that of ordinary runs, and the score from which a run is a credential."""
+    """Automata of the labelled kinds, that of ordinary runs, the score from which a run is a credential, and the shortest label's length."""
 
     kinds: dict[str, Automaton]
     ordinary: Automaton
     threshold: float
+    least: int
 
     def score(self, run: str) -> float:
         return max(a.score(run) for a in self.kinds.values()) - self.ordinary.score(run)
@@ -211,7 +201,9 @@ def fit_formats(labelled: Sequence[tuple[str, str]]) -> Formats | None:
     by = defaultdict(list)
     for kind, value in sorted(set(labelled)):
         by[kind].append(value)
+    # Words in capitals are known from the others: runs of capitals in the texts may be credentials.
     others = by.pop("ordinary", [])
+    others = sorted({*others, *(w.upper() for w in others)})
     if not by:
         return None
     kinds = {k: infer(v) for k, v in sorted(by.items())}
@@ -220,11 +212,12 @@ def fit_formats(labelled: Sequence[tuple[str, str]]) -> Formats | None:
         for c in w:
             usual.moves[0].setdefault(c, [0, 0])[1] += 1
         usual.ends[0] += 1
-    plainest = Formats(kinds, usual, 0.0)
+    least = min(len(w) for v in by.values() for w in v)
+    plainest = Formats(kinds, usual, 0.0, least)
     scores = sorted(plainest.score(w) for w in others)
     own = sorted(plainest.score(w) for v in by.values() for w in v)
     # Above nearly all ordinary runs, and no lower than the weakest twentieth of the credentials.
-    return Formats(kinds, usual, max(scores[int(0.99 * (len(scores) - 1))] if scores else 0.0, own[len(own) // 20], 0.1))
+    return Formats(kinds, usual, max(scores[int(0.99 * (len(scores) - 1))] if scores else 0.0, own[len(own) // 20], 0.1), least)
 
 
 def _labels_of(batches):
@@ -241,7 +234,7 @@ def _labels_of(batches):
                 for kind, a, b in spans:
                     value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                     rows.add((kind, value))
-                rows.update(("ordinary", text[a:b]) for a, b in wide_runs(text, spans, ASSIGN_LEAST) if ordinary(text[a:b]))
+                rows.update(("ordinary", text[a:b]) for a, b in other_runs(text, spans, ASSIGN_LEAST) if ordinary(text[a:b]))
             for kind, value in rows:
                 if len(value) > LONGEST:
                     continue
@@ -288,13 +281,13 @@ def scan(docs: DataFrame, formats: Formats | None) -> DataFrame:
         for big in batches:
             for batch in batches_by_bytes(big, "text"):
                 text = pc.fill_null(batch["text"], "")
-                hint = pc.or_(pc.match_substring_regex(text, _HINT), pc.match_substring_regex(text, _DIGIT)).to_pylist()
+                hint = pc.match_substring_regex(text, _HINT).to_pylist()
                 rows = []
                 for look, t in zip(hint, text.to_pylist()):
                     base = base_spans(t) if look else []
                     more = []
-                    if look and own is not None:
-                        for a, b in other_runs(t, base):
+                    if own is not None:
+                        for a, b in other_runs(t, base, own.least):
                             run_ = t[a:b]
                             if run_ not in known:
                                 if len(known) > 200_000:
