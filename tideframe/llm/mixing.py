@@ -55,19 +55,21 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     """How many documents of each length (positive, distinct) to take, so that they sum to at most budget, as near as found.
 
     Each length gives its share of the budget rounded down, and whole documents of what is left are given from the longest
-    down until it is within TABLE; over TABLE a dynamic program with the remaining counts fits the rest.
+    down until it is within TABLE, first so that half a TABLE stays, then, where only longer documents are left, of any length
+    that fits; over TABLE a dynamic program with the remaining counts fits the rest.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     take = counts * budget // total if total else counts * 0
     left = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        if left <= TABLE:
-            break
-        more = min(int(counts[i] - take[i]), max(0, left - TABLE // 2) // int(lengths[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
+    for spare in (TABLE // 2, 0):
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            if left <= TABLE:
+                break
+            more = min(int(counts[i] - take[i]), max(0, left - spare) // int(lengths[i]))
+            take[i] += more
+            left -= more * int(lengths[i])
     left = min(left, budget)
     if left > TABLE:
         return take
