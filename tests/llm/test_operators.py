@@ -29,29 +29,39 @@ def encoded(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids + [end]
 
 
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("plain_specials", [False, True])
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_gives_the_librarys_ids(name):
+def test_encoder_gives_the_librarys_ids(name, plain_specials, monkeypatch):
     import random
 
-    from tideframe.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    from tideframe.llm import tokens
 
     rng = random.Random(3)
-    parts = ["a", "B", "don't", "'s", " ", "  ", "\n", "\t", " ", "Σ", "é", "é", "́", "12", "²", "_", "x.", "!?", "漢字", "😀", "<|endoftext|>", "\x85", "\x1c", "İ", "I'LL", "ß", "…", "|"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", None, " "]
-    own = Encoder(vocabulary(name))
-    ids, bounds = own.encode(pa.array(texts, pa.string()))
-    want = [x.ids for x in own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    for i, x in enumerate(want):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == x, texts[i]
+    parts = ["a", "B", "don't", "'s", " ", " ", "  ", "\n", "\t", " ", "Σ", "é", "é.", "́", "12", "²", "_", "x.", "!?", "漢字", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x85", "\x1c", "İ", "İ.", "I'LL", "ß", "…", "|", "ª.", "ǅ;"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["", None, " "]
+    plainly = Tokenizer.from_file(vocabulary(name))
+    plainly.encode_special_tokens = plain_specials
+    want = [x.ids for x in plainly.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    own = tokens.Encoder(vocabulary(name), plain_specials)
+    monkeypatch.setattr(tokens, "MEMO", 700)  # words are forgotten and met again
+    for part in (texts, texts[2000:], texts):
+        ids, bounds = own.encode(pa.array(part, pa.string()))
+        for i, x in enumerate(want[-len(part) :]):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == x, part[i]
     ids, bounds = own.encode(pa.array(texts, pa.string()).slice(1000, 500))
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want[1000:1500]
+    own = tokens.Encoder(vocabulary(name), plain_specials)
+    for k in range(0, 4000, 50):
+        own.encode(pa.array(texts[k : k + 50], pa.string()))
+    assert len(own.known.one) <= 700
 
 
 def test_token_store_round_trip(spark, docs, rows, empty, tmp_path):
@@ -151,23 +161,31 @@ def test_keep_first(docs, rows, empty):
     assert keep_first(empty).count() == 0
 
 
-def test_filter_slices(spark):
+def test_filter_slices(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from tideframe.llm import exact_dedup as D
-
-    keys = spark.range(3000).select(F.xxhash64(F.col("id") % 2500).alias("h"))
-    old = D.MOST_BITS
-    D.MOST_BITS = 1 << 14
-    try:
-        filters = D.repeated_filters(keys, 3000)
-        assert len(filters) > 1
-        flagged = D.flag_repeated(keys, filters)
-        twice = keys.groupBy("h").count().where("count > 1").select("h")
-        assert flagged.count() == 3000
+    from tideframe.llm.common import staged
+
+    keys = staged(spark.range(3000).select(F.xxhash64(F.col("id") % 2500).alias("h"), "id"), "keys")
+    twice = keys.groupBy("h").count().where("count > 1").select("h")
+    for bits in (1 << 28, 1 << 14):
+        monkeypatch.setattr(D, "MOST_BITS", bits)
+        assert (D._slices(3000) > 1) == (bits == 1 << 14)
+        flagged = D.flag_repeated(keys, "flags")
+        assert sorted(r.id for r in flagged.collect()) == list(range(3000))
         assert flagged.where("not maybe").join(twice, "h", "left_semi").count() == 0
-    finally:
-        D.MOST_BITS = old
+        assert flagged.where("maybe").count() < 1600
+
+
+def test_groups_that_hold_much(spark):
+    from tideframe.llm.exact_dedup import exact_duplicates, keep_first
+
+    rows = [(i, "same  words" if i % 3 else f"own words {i // 2}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in exact_duplicates(docs).collect()}
+    assert len(got) == 3000 and all(got[i].group_size == 2000 and got[i].keep_id == 1 for i in range(3000) if i % 3)
+    assert {r.doc_id for r in keep_first(docs).collect()} == {i for i, r in got.items() if r.kept}
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------
@@ -337,17 +355,72 @@ def test_keep_one(docs, rows, empty):
 
 
 def test_forest_reaches_its_recall():
-    from tideframe.llm.ngram_join import RECALL, depth_for, prefixes
+    from tideframe.llm.ngram_join import DEPTH, RECALL, TREES, reach, shallowest, signature
 
-    depth = depth_for(0.8)
-    rng, met = np.random.default_rng(6), 0
+    depth = shallowest(0.8)
+    assert reach(0.8, depth) >= RECALL > reach(0.8, depth + 1) and shallowest(0.8, 0.9) >= depth >= shallowest(0.5)
+    rng, met, alike = np.random.default_rng(6), 0, 0.0
     for _ in range(300):
-        both = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
-        x = np.concatenate([both, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
-        y = np.concatenate([both, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
-        met += bool((prefixes(x, depth) == prefixes(y, depth)).any())
-    assert met / 300 >= RECALL - 0.01
-    assert depth_for(0.8, 0.9) >= depth >= depth_for(0.5)
+        both, *own = (rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (160, 20, 20))
+        x, y = (signature(np.concatenate([both, o])).reshape(TREES, DEPTH) for o in own)
+        met += bool((x[:, :depth] == y[:, :depth]).all(axis=1).any())
+        alike += float((x == y).mean()) / 300
+    assert met / 300 >= RECALL - 0.01 and abs(alike - 0.8) < 0.01
+
+
+def test_prefixes_are_shortened(spark, monkeypatch):
+    """A pair that no whole path tells is found by shorter ones; documents with near copies stop before that."""
+    from tideframe.llm import ngram_join as J
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, J.TREES * J.DEPTH, dtype=np.uint64).astype(">u2")
+    short = base.copy().reshape(J.TREES, J.DEPTH)
+    short[:, 6:] = rng.integers(0, 1 << 16, (J.TREES, 2), dtype=np.uint64).astype(">u2")
+    copy = base.copy()
+    copy[:8] += 1
+    other = rng.integers(0, 1 << 16, J.TREES * J.DEPTH, dtype=np.uint64).astype(">u2")
+    rows = [(i, 100, bytearray(x.tobytes())) for i, x in enumerate((base, short, other))]
+    table = lambda r: spark.createDataFrame(r, "doc_id bigint, n int, paths binary")
+    depths = []
+    old = J.nodes
+    monkeypatch.setattr(J, "nodes", lambda reps, depth, *c: (depths.append((depth, reps.where("open").count() if "open" in c else None)), old(reps, depth, *c))[1])
+    assert {(r.a, r.b) for r in J.forest_edges(table(rows), 0.8, J.RECALL).collect()} in ({(0, 1)}, {(1, 0)})
+    assert depths == [(8, 3), (7, 3), (6, 3)]
+    depths.clear()
+    J.forest_edges(table([*rows[2:], (5, 100, bytearray(base.tobytes())), (6, 100, bytearray(copy.tobytes()))]), 0.8, J.RECALL).collect()
+    assert depths == [(8, 3), (7, 1), (6, 1)]
+
+
+def test_blocks_connect_by_all_links():
+    """Documents 1-4, 2-3 and 3-4 are linked: no document's smallest neighbour tells that 2 and 1 belong together."""
+    from tideframe.llm.ngram_join import _parts
+
+    linked = np.zeros((4, 4), bool)
+    for i, j in ((0, 3), (1, 2), (2, 3)):
+        linked[i, j] = linked[j, i] = True
+    assert _parts(linked, np.array([1, 2, 3, 4])).tolist() == [1, 1, 1, 1]
+
+
+def test_large_groups_by_blocks(spark, monkeypatch):
+    """A chain of near copies of several bases, in many small blocks, against brute force."""
+    import random
+
+    from tideframe.llm import ngram_join as J
+
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        text = [f"w{g}x{i}" for i in range(60)]
+        for k in range(25):
+            text = list(text)
+            text[rng.randrange(60)] = f"c{g}x{k}"
+            rows.append((len(rows), " ".join(text)))
+    want, top = _near(rows)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "NODE_BLOCK", 5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(docs).collect()}
+    assert got == {i: (top[i], want[i]) for i, _ in rows}
 
 
 def test_components(spark):
@@ -500,10 +573,12 @@ def _repeats(rows):
     return out
 
 
-@pytest.mark.parametrize(("batches", "group"), [(3, 16_384), (1, 2)])
-def test_repeats(docs, rows, batches, group):
+@pytest.mark.parametrize(("batches", "group", "held"), [(3, 16_384, 400_000), (7, 16_384, 400_000), (1, 2, 400_000), (5, 2, 3)])
+def test_repeats(docs, rows, batches, group, held, monkeypatch):
+    from tideframe.llm import suffix_dedup
     from tideframe.llm.suffix_dedup import remove_repeats
 
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
     assert collections.Counter(map(tuple, remove_repeats(docs, batches, group).collect())) == _repeats(rows)
 
 
@@ -513,6 +588,57 @@ def test_repeats_of_nothing(empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_levels_are_in_order_and_merge(spark, docs):
+    """Five batches leave levels of one and four; each is in its order, and holds every run once."""
+    from pyspark.sql import functions as F
+
+    from tideframe.llm import suffix_dedup as S
+
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    occurrences = own.mapInArrow(S._entries, "anchor bigint, right bigint, left bigint, run1 bigint, run2 bigint, doc_id bigint, row bigint, lo int, hi int, spot bigint").cache()
+    family = S.IndexFamily()
+    for i in range(5):
+        family.add(occurrences.where(F.pmod("row", F.lit(5)) == i))
+    assert [x is not None for x in family.levels] == [True, False, True]
+    for level, batches in ((family.levels[0], (4,)), (family.levels[2], (0, 1, 2, 3))):
+        want = collections.Counter(tuple(r) for r in occurrences.where(F.pmod("row", F.lit(5)).isin(*batches)).select(*S.ORDER).collect())
+        assert {tuple(r)[:5]: r.n for r in level.collect()} == want and level.count() == len(want)
+        parts = level.select(*S.ORDER, F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("f", "i").collect()
+        assert all(tuple(x)[:5] < tuple(y)[:5] for x, y in zip(parts, parts[1:]) if x.f == y.f)
+
+
+def test_open_entries_are_those_that_can_match():
+    """Whether two entries of an anchor share LENGTH bytes follows from their texts; what isn't open never does."""
+    from tideframe.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(4)
+    middle = rng.integers(97, 123, 32).astype(np.uint8)
+    texts, sides = [], [rng.integers(97, 123, 170).astype(np.uint8) for _ in range(2)]
+    for _ in range(40):
+        a, b = (s.copy() for s in sides)
+        a[: rng.integers(0, 171)] = 33
+        b[170 - rng.integers(0, 171) :] = 34
+        texts.append(np.concatenate([a, rng.integers(48, 58, 0).astype(np.uint8), middle, b]))
+    raw, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    n = len(texts)
+    right, left = S.contexts(raw, ends, np.arange(n), ends - 372 + 170)
+    zero = np.zeros(n, np.int64)
+    order = np.lexsort((left.view(np.int64), right.view(np.int64)))
+    columns = {"anchor": zero, "right": right.view(np.int64), "left": left.view(np.int64), "run1": np.arange(n), "run2": zero, "n": zero + 1, "spot": np.arange(n)}
+    out = S._merged(pa.table({k: v[order] for k, v in columns.items()}), False)
+    open_ = dict(zip(out["spot"].to_pylist(), out["open"].to_pylist()))
+    for i in range(n):
+        longest = 0
+        for j in range(n):
+            if i != j:
+                same = texts[i] == texts[j]
+                behind = int(np.argmin(np.append(same[170:], False)))
+                before = int(np.argmin(np.append(same[169::-1], False)))
+                longest = max(longest, before + behind)
+        assert open_[i] or longest < S.LENGTH
+    assert not all(open_.values())
+
+
 def test_runs_cover_all_windows():
     from tideframe.llm.suffix_dedup import LENGTH, K, runs
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,13 +20,12 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isEmpty():
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tideframe-')}")
-            made = spark.sparkContext._jsc.sc().getCheckpointDir()
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = made.get()
     return base.rstrip("/")
 
@@ -38,12 +38,51 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors, is computed once."""
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing will read again; what was made of them has been written."""
+    for df in tables:
+        if (path := getattr(df, "staged_at", None)) is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that no name clashes, not even by case."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, column: str) -> str:
+    """What numbered() calls a column: the one of exactly this name, else the first that differs by case only."""
+    names = df.columns
+    at = names.index(column) if column in names else [c.lower() for c in names].index(column.lower())
+    return f"c{at}"
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns, by exact name, whatever else the table holds."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """Only these columns, whatever else the table holds and however it is named."""
+    return numbered(df).select(*[F.col(place(df, c)).alias(c) for c in columns])
+
+
+def trimmed() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers live on after their stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def hot(groups: DataFrame, size: str, share: int = 1024) -> DataFrame:
+    """The groups that hold more than a 1/share of all rows; there are fewer than `share`, so they may be broadcast."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    return groups.where((F.col(size) * share > F.lit(total)) & (F.col(size) > 1))
 
 
 def batches_by_bytes(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -145,3 +184,15 @@ def build_bloom(keys: DataFrame, bloom: Bloom, twice: bool = False) -> np.ndarra
     for row in merged.toLocalIterator():
         plane[row.block * width : (row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)
     return plane
+
+
+def passing(df: DataFrame, column: str, keys: DataFrame, bits_per_key: int = 16) -> DataFrame:
+    """Rows of df whose 64-bit column a filter of the one-column table of keys may hold: all that it holds, and few others."""
+    bloom = Bloom.sized(keys.count(), bits_per_key)
+    sent = df.sparkSession.sparkContext.broadcast(build_bloom(keys, bloom))  # of at most 32 MB
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.has(sent.value, batch[column].to_numpy())))
+
+    return df.mapInArrow(run, df.schema)

@@ -12,13 +12,11 @@ results; other columns are carried or ignored, whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, Bloom, build_bloom, plain, staged
-from .tokens import release
+from .common import SPACE_RUN, Bloom, build_bloom, hot, numbered, place, plain, staged, trimmed, unstage, work_path
 
 BITS_PER_KEY = 16
 MOST_BITS = 1 << 28
@@ -33,72 +31,88 @@ def _slices(n: int) -> int:
     return max(1, -(-n * BITS_PER_KEY // MOST_BITS))
 
 
-def repeated_filters(keys: DataFrame, n: int) -> list[tuple[Bloom, np.ndarray]]:
-    """For each slice of the 64-bit keys (column h), the bits that were set twice or more."""
-    slices = _slices(n)
-    bloom = Bloom.sized(-(-n // slices), BITS_PER_KEY, MOST_BITS)
-    return [(bloom, build_bloom(keys.where(F.pmod("h", F.lit(slices)) == i).select("h") if slices > 1 else keys.select("h"), bloom, twice=True)) for i in range(slices)]
+def flag_repeated(rows: DataFrame, name: str) -> DataFrame:
+    """rows (a staged table with the 64-bit key h), staged anew with `maybe`: whether the key may occur twice.
 
+    Keys beyond what one filter serves are dealt to slices by their value, rows once to a folder for each slice; the slices
+    then take their turn, so that driver and workers hold one filter of at most MOST_BITS bits at a time.
+    """
+    spark = rows.sparkSession
+    slices = _slices(rows.count())
+    if slices == 1:
+        return staged(_flagged(rows, rows.select("h")), name)
+    dealt, path = work_path(spark, f"{name}-slices"), work_path(spark, name)
+    rows.withColumn("slice", F.pmod("h", F.lit(slices))).repartition("slice", F.pmod(F.xxhash64("h"), F.lit(64))).write.partitionBy("slice").parquet(dealt)
+    schema = rows.withColumn("maybe", F.lit(True)).schema
+    for i in range(slices):
+        own = spark.read.schema(rows.schema).parquet(f"{dealt}/slice={i}")
+        _flagged(own, own.select("h")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
-def flag_repeated(rows: DataFrame, filters: list[tuple[Bloom, np.ndarray]]) -> DataFrame:
-    """rows (with the 64-bit key h), plus `maybe`: whether the key may occur twice. One slice's filter is sent out at a time."""
-    spark, out = rows.sparkSession, None
-    for i, (bloom, plane) in enumerate(filters):
-        sent = spark.sparkContext.broadcast(plane)
 
-        def run(batches, bloom=bloom, sent=sent):
-            release()
-            for batch in batches:
-                found = bloom.has(sent.value, batch["h"].to_numpy())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
+def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    bloom = Bloom.sized(keys.count(), BITS_PER_KEY, MOST_BITS)
+    sent = rows.sparkSession.sparkContext.broadcast(build_bloom(keys, bloom, twice=True))
+
+    def run(batches):
+        for batch in batches:
+            found = bloom.has(sent.value, batch["h"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
+        trimmed()
 
-        own = rows.where(F.pmod("h", F.lit(len(filters))) == i) if len(filters) > 1 else rows
-        schema = own.withColumn("maybe", F.lit(True)).schema
-        part = own.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rows.mapInArrow(run, rows.withColumn("maybe", F.lit(True)).schema)
+
+
+def _groups(flagged: DataFrame) -> DataFrame:
+    """Of each hash among the rows that may repeat: its first row, and how many rows have it."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row"))
+    return flagged.where("maybe").groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     hashed = plain(docs, "doc_id", "text").select("doc_id", F.unhex(text_hash()).alias("sha")).withColumn("h", F.xxhash64("sha")).withColumn("row", F.monotonically_increasing_id())
     hashed = staged(hashed, "hashes")
-    flagged = staged(flag_repeated(hashed, repeated_filters(hashed, hashed.count())), "flagged-hashes")
-    maybe = flagged.where("maybe")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row"))
-    groups = maybe.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    shuffled = maybe.join(groups, "sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.row") == F.col("row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    flagged = flag_repeated(hashed, "flagged-hashes")
+    groups = staged(_groups(flagged), "hash-groups")
+    unstage(hashed)
+    # Groups with more than a thousandth of the rows are fewer than that and go to all their rows; only rows of the others meet by shuffle.
+    large = F.broadcast(hot(groups, "group_size").withColumnRenamed("best", "at").withColumnRenamed("group_size", "large_size"))
+    met = flagged.where("maybe").join(large, "sha", "left")
+    found = lambda df, size: df.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col(size).alias("group_size"), (F.col("best.row") == F.col("row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    done = found(met.where("at is not null").withColumnRenamed("at", "best"), "large_size")
+    shuffled = found(met.where("at is null").select("sha", "doc_id", "row").join(groups, "sha"), "group_size")
     through = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    return through.unionByName(shuffled)
+    return through.unionByName(done).unionByName(shuffled)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops, all columns as they were. Rows that occur once are never shuffled."""
-    columns = docs.columns
-    hashed = docs.withColumn("__sha", F.unhex(text_hash()))
-    keys = staged(hashed.select(F.col("`doc_id`").alias("doc_id"), F.col("__sha").alias("sha"), F.xxhash64("__sha").alias("h")), "hashes")
-    flagged = flag_repeated(keys, repeated_filters(keys, keys.count())).where("maybe")
-    groups = flagged.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = staged(groups.where("group_size > 1"), "repeated-groups")
-    # The rows of repeated texts are few enough to name; the filter over those hashes lets all others pass by.
-    several = groups.select(F.xxhash64("sha").alias("h"))
+    """docs without the rows that exact_duplicates() drops, all columns as they were.
+
+    Texts are never shuffled: what goes is named by hash and doc_id, and rows that a filter of repeated hashes doesn't hold pass by.
+    """
+    columns = numbered(docs).withColumn("sha", F.unhex(text_hash(place(docs, "text")))).withColumn("h", F.xxhash64("sha"))
+    keys = staged(columns.select(F.col(place(docs, "doc_id")).alias("doc_id"), "sha", "h", F.monotonically_increasing_id().alias("row")), "hashes")
+    groups = staged(_groups(flag_repeated(keys, "flagged-hashes")).where("group_size > 1"), "repeated-groups")
     bloom = Bloom.sized(groups.count(), 24, MOST_BITS)
-    sent = docs.sparkSession.sparkContext.broadcast(build_bloom(several, bloom))
-    with_h = hashed.withColumn("__h", F.xxhash64("__sha"))
+    sent = docs.sparkSession.sparkContext.broadcast(build_bloom(groups.select(F.xxhash64("sha").alias("h")), bloom))
 
     def split(wanted: bool):
         def run(batches):
-            release()
             for batch in batches:
-                found = bloom.has(sent.value, batch["__h"].to_numpy())
+                found = bloom.has(sent.value, batch["h"].to_numpy())
                 yield batch.filter(pa.array(found if wanted else ~found))
 
-        return with_h.mapInArrow(run, with_h.schema)
+        return columns.mapInArrow(run, columns.schema)
 
-    named = [F.col(f"`{c}`") for c in columns]
-    through = split(False).select(*named)
-    met = split(True).join(groups.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__met")), "__sha", "left")
+    own = groups.select("sha", F.col("best.doc_id").alias("keep_id"), F.lit(True).alias("met"))
+    # A copy that isn't its group's first goes before anything moves where its group is large; the others meet by shuffle.
+    large = F.broadcast(hot(groups, "group_size").select("sha", F.col("best.doc_id").alias("large_id"), F.lit(True).alias("large")))
+    doc_id = F.col(place(docs, "doc_id"))
+    some = split(True).join(large, "sha", "left").where("large is null or large_id <=> " + place(docs, "doc_id")).drop("large", "large_id")
+    met = some.join(own, "sha", "left")
     # A hash that the filter only seemed to know has no group and stays; of rows that repeat the smallest doc_id, one stays.
-    alone = met.where("__met is null").select(*named)
-    first = met.where(F.col("__met") & F.col("__keep").eqNullSafe(F.col("`doc_id`"))).dropDuplicates(["__sha"]).select(*named)
-    return through.unionByName(alone).unionByName(first)
+    alone = met.where("met is null")
+    first = met.where(F.col("met") & F.col("keep_id").eqNullSafe(doc_id)).dropDuplicates(["sha"])
+    out = [df.drop("sha", "h", "keep_id", "met") for df in (split(False), alone, first)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).toDF(*docs.columns)

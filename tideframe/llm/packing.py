@@ -9,14 +9,15 @@ their gaps. Only lengths, never ids, are moved.
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, plain, staged
-from .tokens import encoder, with_end
+from .common import batches_by_bytes, plain, staged, trimmed
+from .tokens import SLICE, encoder, with_end
 
 #: Items of a block, about: one task packs a block.
 BLOCK_ITEMS = 20_000
@@ -50,7 +51,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, places
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, plain_specials: bool = False) -> DataFrame:
     """doc_id, copy, piece, start, length, ids_crc32 of each document's ids with end_id behind them.
 
     A document of more than capacity ids is cut into pieces of that length, the first of which may be shorter. Null text
@@ -58,10 +59,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -
     """
     kind = dict(docs.dtypes)["doc_id"]
 
+    source = Path(tokenizer).read_bytes()
+
     def run(batches):
         for big in batches:
-            for batch in batches_by_bytes(big, "text"):
-                ids, bounds = with_end(*encoder(tokenizer).encode(batch["text"]), end_id)
+            for batch in batches_by_bytes(big, "text", SLICE):
+                ids, bounds = with_end(*encoder(source, plain_specials).encode(batch["text"]), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 total = np.diff(bounds)
                 count = -(-total // capacity)
@@ -77,6 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -
                     [batch["doc_id"].take(at), batch["copy"].take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"],
                 )
+        trimmed()
 
     own = plain(docs, "doc_id", "text").withColumn("copy", F.monotonically_increasing_id())
     return own.mapInArrow(run, f"doc_id {kind}, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint")

@@ -3,20 +3,23 @@
 A passage is a string of LENGTH bytes that starts at two places of the corpus or more; all bytes that passages cover go.
 
 Every window of LENGTH bytes has an anchor, the leftmost of its K-byte strings with the smallest hash. Windows in a row with one
-anchor form a run, and equal windows have equal anchors at equal places, so matches are only sought among runs whose anchors
-hold the same string. The suffixes that start at anchors, in the order of their hashed K-byte prefix and of their whole
-run, are the suffix array; it has about one entry for 85 bytes.
-
-New batches of documents get suffix arrays of their own. An index is a family of levels whose sizes grow geometrically: a
-batch's array is merged with the level of its size, entry by entry in their common order, and the result moves up while
-there is a level of its size. An entry tells how often its run occurs and one place of it. A run that occurs twice is a match
-from end to end; these are most. Where other runs share an anchor, single runs are compared window by window: their bytes
-meet under their anchor, and each window that occurs in two of them, or in one and a repeated run, is a match.
-Groups of more than GROUP_RUNS runs under an anchor, which one task shouldn't hold, are compared by a shuffle of their windows'
-hashes instead.
+anchor form a run, and equal windows have equal anchors at equal places, so matches are only sought among suffixes that begin
+at anchors with the same string. A suffix array holds one entry for each run, about one for 85 bytes, in the order of its
+suffix: the anchor's K bytes by their hash, then the text behind it, STEPS blocks of STEP bytes renamed to 16 bits each. An
+entry also has the blocks before its anchor, nearest first, the run's hash, how often the run occurs and one of its places.
+
+New batches of documents get suffix arrays of their own. An index is a family of levels whose sizes grow geometrically: a new
+array is merged with the level of its size, and the result moves up while there is a level of its size; it is then scanned
+together with each level that is left. Merging and scanning read both arrays in their common order, one anchor after the other. A run
+that stands in it twice is a match from end to end; these are most. Two other entries can only match where the blocks that they share
+behind the anchor (their common prefix in the order) and before it leave room for LENGTH equal bytes, three blocks at least;
+where that is so and one of them occurs once, both are open. Of open entries one place each is read again, and the
+bytes of those under one anchor are compared window by window. Groups of more than GROUP_RUNS of them, which
+one task shouldn't hold, are compared by a shuffle of their windows' hashes instead; anchors of more than HELD entries are all open.
 
 Null text is empty; matches never cross documents; a row that repeats another's doc_id and text matches it. Rows are told
-apart by doc_id and text, so doc_ids may repeat or be null. Hashes have 128 bits where equality decides, 64 where it only groups.
+apart by doc_id and text, so doc_ids may repeat or be null. An empty table gives no rows; other columns are ignored, whatever their
+names. Hashes have 128 bits where equality decides; 64 or fewer only group, and can make more be compared, never less.
 """
 
 from __future__ import annotations
@@ -29,11 +32,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, batches_by_bytes, build_bloom, plain, staged
+from .common import Bloom, batches_by_bytes, build_bloom, plain, staged, trimmed, unstage
 
 LENGTH, K = 200, 32
-BATCHES = 2
+#: Blocks of an entry's context on each side, and their bytes.
+STEPS, STEP = 4, 40
+#: Blocks that two entries share at least where they match: the rest of LENGTH is the anchor and a part of a block on each side.
+SHARED = -(-(LENGTH - K - 2 * (STEP - 1)) // STEP)
+#: Batches that a table given at once is dealt to. Every batch is scanned against all before it, so the number is the same at any size.
+BATCHES = 3
 GROUP_RUNS = 16_384
+#: Entries of one anchor that a task holds, and entries that it counts before they are sent.
+HELD, COUNTED = 400_000, 200_000
 #: Bytes of runs that one task compares at a time, whole groups.
 TOGETHER = 1_000_000
 #: Bytes of texts whose hashes a task holds at a time.
@@ -121,21 +131,43 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds[1:] - bounds[0]
 
 
+def contexts(raw: np.ndarray, ends: np.ndarray, text: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks behind and before each anchor, nearest first from the highest bits down; 0 for blocks that a text doesn't hold."""
+    eight = np.ndarray(max(0, len(raw) - 7), np.dtype("<u8"), np.ascontiguousarray(raw), strides=(1,))
+    begin = np.concatenate([[0], ends[:-1]])[text] if len(text) else anchor
+    end = ends[text] if len(text) else anchor
+    out = []
+    for first, step in ((anchor + K, STEP), (anchor - STEP, -STEP)):
+        packed = np.zeros(len(anchor), np.uint64)
+        for k in range(STEPS):
+            at = first + k * step
+            inside = np.flatnonzero((at >= begin) & (at + STEP <= end))
+            h = np.full(len(inside), _Q)
+            for w in range(0, STEP, 8):
+                h = _mix(h * _P + eight[at[inside] + w])
+            block = np.zeros(len(anchor), np.uint64)
+            block[inside] = (h >> np.uint64(48)) | np.uint64(1)
+            packed = packed << np.uint64(16) | block
+        out.append(packed)
+    return out[0], out[1]
+
+
 def _entries(batches):
     for big in batches:
         for batch in batches_by_bytes(big, "text", SLICE):
             raw, ends = _texts(batch)
-            text, lo, hi, _, key = runs(raw, ends)
+            text, lo, hi, anchor, key = runs(raw, ends)
+            right, left = contexts(raw, ends, text, anchor)
             begin = np.concatenate([[0], ends[:-1]])[text] if len(text) else lo
             view = memoryview(raw)
             prints = b"".join([hashlib.blake2b(view[a : b + LENGTH], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist())])
             run = np.frombuffer(prints, np.int64).reshape(-1, 2)
             at = pa.array(text)
             rows = batch["row"].to_numpy()[text]
-            yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(run[:, 0].copy()), pa.array(run[:, 1].copy()), batch["doc_id"].take(at), pa.array(rows), pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32)), pa.array(_spot(rows, lo - begin))],
-                names=["anchor", "run1", "run2", "doc_id", "row", "lo", "hi", "spot"],
-            )
+            columns = [pa.array(x.view(np.int64)) for x in (key, right, left)] + [pa.array(run[:, 0].copy()), pa.array(run[:, 1].copy()), batch["doc_id"].take(at), pa.array(rows)]
+            columns += [pa.array((lo - begin).astype(np.int32)), pa.array((hi - begin).astype(np.int32)), pa.array(_spot(rows, lo - begin))]
+            yield pa.record_batch(columns, names=[*ORDER, "doc_id", "row", "lo", "hi", "spot"])
+    trimmed()
 
 
 def _spot(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -143,36 +175,124 @@ def _spot(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return _mix(row.astype(np.int64).view(np.uint64) * _P + lo.astype(np.uint64)).view(np.int64)
 
 
+#: An entry's place in the order.
+ORDER = ["anchor", "right", "left", "run1", "run2"]
+ENTRY = "anchor bigint, right bigint, left bigint, run1 bigint, run2 bigint, n bigint, spot bigint"
+
+
+def _counted(batches):
+    """Entries, each once for some hundred thousand of a task, so that what repeats without end is counted before it moves."""
+    held: list[pa.RecordBatch] = []
+
+    def put():
+        out = pa.Table.from_batches(held).group_by(ORDER).aggregate([("n", "sum"), ("spot", "min")])
+        held.clear()
+        return out.select([*ORDER, "n_sum", "spot_min"]).rename_columns([*ORDER, "n", "spot"]).combine_chunks().to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= COUNTED:
+            yield from put()
+    if held:
+        yield from put()
+    trimmed()
+
+
+def _merged(table: pa.Table, all_open: bool) -> pa.RecordBatch:
+    """Entries in order, of whole anchors: equal runs as one, and which entries are open."""
+    columns = {c: table[c].to_numpy() for c in [*ORDER, "n", "spot"]}
+    change = np.concatenate([[True], np.any([columns[c][1:] != columns[c][:-1] for c in ORDER], axis=0)])
+    first = np.flatnonzero(change)
+    n, spot = np.add.reduceat(columns["n"], first), np.minimum.reduceat(columns["spot"], first)
+    anchor, right, left = (columns[c][first].view(np.uint64) for c in ORDER[:3])
+    open_ = np.full(len(first), all_open)
+    if not all_open:
+        # Anchors of one entry, or of none that occurs once, are settled.
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        size = np.diff(np.append(edge, len(first)))
+        some = (size > 1) & np.logical_or.reduceat(n == 1, edge)
+        at = np.flatnonzero(np.repeat(some, size))
+        for behind in range(SHARED + 1):
+            # Entries that share the anchor, `behind` blocks behind it and the others before it.
+            key = _mix(anchor[at] + _P)
+            for side, blocks in ((right, behind), (left, SHARED - behind)):
+                key = _mix(key * _P + (side[at] >> np.uint64(16 * (STEPS - blocks)) if blocks else np.uint64(0)))
+            _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+            single = np.bincount(group, n[at] == 1, len(count)) > 0
+            open_[at] |= ((count > 1) & single)[group]
+    return pa.record_batch([*[pa.array(columns[c][first]) for c in ORDER], pa.array(n), pa.array(spot), pa.array(open_)], names=[*ORDER, "n", "spot", "open"])
+
+
+def _scan(batches):
+    """Over entries in order: the merged entries, each with `open`."""
+    held: list[pa.RecordBatch] = []
+    going = False  # whether entries of the held anchor were already given out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch.select([*ORDER, "n", "spot"])
+        anchors = batch["anchor"].to_numpy()
+        if held and held[-1]["anchor"][-1].as_py() != anchors[0]:
+            yield _merged(pa.Table.from_batches(held), going)
+            held, going = [], False
+        edge = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+        if len(edge):
+            if going:  # the rest of an anchor that is all open, then whole ones
+                yield _merged(pa.Table.from_batches([*held, batch.slice(0, int(edge[0]))]), True)
+                held, batch, edge = [], batch.slice(int(edge[0])), edge - edge[0]
+            if int(edge[-1]) or held:
+                yield _merged(pa.Table.from_batches([*held, batch.slice(0, int(edge[-1]))]), False)
+            held, going = [], False
+            batch = batch.slice(int(edge[-1]))
+        held.append(batch)
+        if sum(x.num_rows for x in held) > HELD:
+            yield _merged(pa.Table.from_batches(held), True)
+            held, going = [], True
+    if held:
+        yield _merged(pa.Table.from_batches(held), going)
+    trimmed()
+
+
 class IndexFamily:
-    """Levels of suffix arrays; level i holds the arrays of 2**i batches. An entry is anchor, run1, run2, n, spot (one of its places)."""
+    """Levels of suffix arrays; level i holds the arrays of 2**i batches. Each array is stored in order, with what its scan found."""
 
     def __init__(self) -> None:
         self.levels: list[DataFrame | None] = []
+        self.between: list[DataFrame] = []
 
     @staticmethod
-    def array_of(occurrences: DataFrame) -> DataFrame:
-        return occurrences.groupBy("anchor", "run1", "run2").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("spot"))
-
-    @staticmethod
-    def merged(one: DataFrame, two: DataFrame) -> DataFrame:
-        return one.unionByName(two).groupBy("anchor", "run1", "run2").agg(F.sum("n").alias("n"), F.min("spot").alias("spot"))
+    def scan(*arrays: DataFrame) -> DataFrame:
+        every = arrays[0].select(*ORDER, "n", "spot")
+        for x in arrays[1:]:
+            every = every.unionByName(x.select(*ORDER, "n", "spot"))
+        # Shards by the anchor's hash, each in order.
+        return every.repartition("anchor").sortWithinPartitions(*ORDER).mapInArrow(_scan, f"{ENTRY}, open boolean")
 
     def add(self, occurrences: DataFrame) -> None:
-        array, i = self.array_of(occurrences), 0
+        """A batch: its array merges with levels of its size, and is scanned against the others."""
+        array = occurrences.select(*ORDER, F.lit(1).cast("bigint").alias("n"), "spot").mapInArrow(_counted, ENTRY)
+        i = 0
         while i < len(self.levels) and self.levels[i] is not None:
-            array, self.levels[i] = self.merged(self.levels[i], array), None
+            below, level = array, self.levels[i]
+            array, self.levels[i] = staged(self.scan(below, level), f"level-{i + 1}"), None
+            unstage(below, level)
             i += 1
-        if i == len(self.levels):
-            self.levels.append(None)
-        self.levels[i] = staged(array.sortWithinPartitions("anchor", "run1"), f"level-{i}")
-
-    def entries(self) -> DataFrame:
-        """All levels as one array."""
-        held = [x for x in self.levels if x is not None]
+        if i == 0:
+            array = staged(self.scan(array), "level-0")
+        self.levels.extend([None] * (i + 1 - len(self.levels)))
+        self.levels[i] = array
+        for level in self.levels[i + 1 :]:
+            if level is not None:
+                self.between.append(staged(self.scan(array, level).where("n > 1 or open"), "between-levels"))
+
+    def found(self) -> DataFrame:
+        """Entries that are repeated (n > 1) or open, of all scans; an entry may come more than once."""
+        held = [x.where("n > 1 or open") for x in [*self.levels, *self.between] if x is not None]
         out = held[0]
         for x in held[1:]:
-            out = self.merged(out, x)
-        return out if len(held) == 1 else staged(out, "levels")
+            out = out.unionByName(x)
+        return out
 
 
 def _where(df: DataFrame, column: str, bloom: Bloom, plane: np.ndarray, *columns: str) -> DataFrame:
@@ -253,25 +373,23 @@ def repeated_stretches(docs: DataFrame, batches: int = BATCHES, group_runs: int
     """docs (doc_id, row, text): doc_id, row, start, end of stretches, which may overlap, whose windows all occur twice or more."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    occurrences = staged(docs.mapInArrow(_entries, f"anchor bigint, run1 bigint, run2 bigint, doc_id {kind}, row bigint, lo int, hi int, spot bigint"), "suffixes")
+    occurrences = staged(docs.mapInArrow(_entries, f"anchor bigint, right bigint, left bigint, run1 bigint, run2 bigint, doc_id {kind}, row bigint, lo int, hi int, spot bigint"), "suffixes")
     family = IndexFamily()
     for i in range(batches):
         family.add(occurrences.where(F.pmod("row", F.lit(batches)) == i))
-    entries = family.entries()
+    entries = staged(family.found(), "found-entries")
+    unstage(*family.levels, *family.between)
     # Runs that occur twice: a filter lets few other occurrences through to the join.
-    twice = entries.where("n > 1").select("run1", "run2", "anchor")
+    twice = staged(entries.where("n > 1").select("run1", "run2", "anchor").distinct(), "repeated-runs")
     bloom = Bloom.sized(twice.count(), 16)
     full = _where(occurrences, "run1", bloom, build_bloom(twice.select("run1"), bloom), "run1", "run2", "anchor", "doc_id", "row", "lo", "hi").join(twice, ["run1", "run2", "anchor"], "left_semi")
     found = full.select("doc_id", "row", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
 
-    # Anchors that hold a single run among others, and one place of each of their runs. What the filters let through besides is
-    # compared too, and finds nothing that isn't there.
-    open_ = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("m > 1 and single > 0")
-    open_ = staged(open_.select("anchor", "m"), "open-anchors")
-    bloom_open = Bloom.sized(open_.count(), 16)
-    places = staged(_where(entries, "anchor", bloom_open, build_bloom(open_.select("anchor"), bloom_open), "anchor", "spot").select("spot"), "open-places")
+    # One place of each open entry. What the filters let through besides is compared too, and finds nothing that isn't there.
+    places = staged(entries.where("open").select("anchor", "spot").distinct(), "open-places")
+    open_ = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
     bloom = Bloom.sized(places.count(), 24)
-    plane = build_bloom(places, bloom)
+    plane = build_bloom(places.select("spot"), bloom)
     sent = spark.sparkContext.broadcast(plane)
     rows = _where(occurrences, "spot", bloom, plane, "spot", "row").select("row").distinct()
     rows = staged(rows, "open-rows")

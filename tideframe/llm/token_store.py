@@ -24,6 +24,7 @@ import hashlib
 import zlib
 from bisect import bisect_left
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import batches_by_bytes, plain, staged
-from .exact_dedup import flag_repeated, repeated_filters
-from .tokens import encoder, with_end
+from .common import Bloom, batches_by_bytes, build_bloom, plain, staged, trimmed
+from .exact_dedup import flag_repeated
+from .tokens import SLICE, encoder, with_end
 
 #: Ids that the rolling hash sees; chunks are MIN_CHUNK to MAX_CHUNK ids long, but for a document's last, and about MEAN_CHUNK.
 WINDOW, MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 8, 64, 512, 4096
@@ -68,12 +69,12 @@ def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _chunker(path: str, end_id: int):
+def _chunker(source: bytes, end_id: int, plain_specials: bool):
     def run(batches):
         sent: set[bytes] = set()  # of this task: a chunk's ids leave it once
         for big in batches:
-            for batch in batches_by_bytes(big, "text"):
-                ids, bounds = with_end(*encoder(path).encode(batch["text"]), end_id)
+            for batch in batches_by_bytes(big, "text", SLICE):
+                ids, bounds = with_end(*encoder(source, plain_specials).encode(batch["text"]), end_id)
                 raw = np.ascontiguousarray(ids, "<u4")
                 narrow = raw.astype("<u2") if len(raw) and int(raw.max()) < 1 << 16 else raw
                 rows = []
@@ -99,6 +100,7 @@ def _chunker(path: str, end_id: int):
                     ],
                     names=["doc_id", "n_tokens", "digests", "lengths", "bodies", "root"],
                 )
+        trimmed()
 
     return run
 
@@ -113,21 +115,33 @@ class TokenStore:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> TokenStore:
-    """Encodes docs (doc_id, text), each followed by end_id, and writes the store below path."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, plain_specials: bool = False) -> TokenStore:
+    """Encodes docs (doc_id, text), each followed by end_id, and writes the store below path. tokenizer: a file on the driver,
+    whose bytes go to the tasks; plain_specials: see tokens."""
     spark = docs.sparkSession
+    source = Path(tokenizer).read_bytes()
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, digests array<binary>, lengths array<int>, bodies array<binary>, root binary"
-    cut = staged(plain(docs, "doc_id", "text").mapInArrow(_chunker(tokenizer, end_id), schema), "token-chunks")
+    cut = staged(plain(docs, "doc_id", "text").mapInArrow(_chunker(source, end_id, plain_specials), schema), "token-chunks")
 
     listed = cut.select(F.explode(F.arrays_zip("digests", "lengths", "bodies")).alias("c")).where("c.bodies is not null")
     chunks = listed.select(F.col("c.digests").alias("digest"), F.col("c.lengths").alias("n"), F.col("c.bodies").alias("ids"))
+    # Which digests tasks may share is found from hashes alone; only chunks that a filter of those holds shuffle with their ids.
     keys = cut.select(F.explode(F.arrays_zip("digests", "bodies")).alias("c")).where("c.bodies is not null").select(F.xxhash64("c.digests").alias("h"))
     keys = staged(keys, "chunk-keys")
-    filters = repeated_filters(keys, keys.count())
-    flagged = flag_repeated(chunks.withColumn("h", F.xxhash64("digest")), filters)
-    alone, shared = (flagged.where(c).select("digest", "n", "ids") for c in ("not maybe", "maybe"))
-    alone.unionByName(shared.dropDuplicates(["digest"])).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    shared = flag_repeated(keys, "chunk-flags").where("maybe").select("h")
+    bloom = Bloom.sized(shared.count())
+    sent = spark.sparkContext.broadcast(build_bloom(shared, bloom))
+
+    def flag(batches):
+        for batch in batches:
+            found = bloom.has(sent.value, batch["h"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
+        trimmed()
+
+    flagged = chunks.withColumn("h", F.xxhash64("digest")).mapInArrow(flag, "digest binary, n int, ids binary, h bigint, maybe boolean")
+    alone, met = (flagged.where(c).select("digest", "n", "ids") for c in ("not maybe", "maybe"))
+    alone.unionByName(met.dropDuplicates(["digest"])).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     n = cut.count()
     segments = max(1, -(-n // SEGMENT_DOCS))

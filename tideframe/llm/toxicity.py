@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text, in lower case with a space at both ends, has the hashed n-grams of its UTF-8 bytes, each once. From labelled
+A text, in lower case with a space at both ends, has the hashed n-grams of its characters (code points), each once. From labelled
 texts, an n-gram's ratio is the log of how much more often toxic texts have it than others (smoothed); logistic
 regression with a penalty is then trained on ratios instead of ones. N-grams that too few texts have, or whose ratio is small,
-don't count. Whole texts are scored, whatever their length; null counts as empty and scores the intercept.
+don't count. Whole texts are scored, whatever their length; null counts as empty and scores what the intercept and that length give.
+Rows are scored one by one, so repeated rows score alike. Empty tables give no rows; without labels no text is toxic. Other
+columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, plain
-from .tokens import release
+from .common import batches_by_bytes, numbered, place, plain, trimmed
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -30,9 +31,11 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
     low = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), low, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
     bounds = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    raw = np.frombuffer(low.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(low) else np.zeros(0, np.uint8)
-    ends = bounds[1:] - bounds[0]
-    doc = np.repeat(np.arange(len(low)), np.diff(bounds))
+    whole = bytes(low.buffers()[2])[bounds[0] : bounds[-1]] if len(low) else b""
+    raw = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
+    length = pc.utf8_length(low).to_numpy()
+    ends = np.cumsum(length)
+    doc = np.repeat(np.arange(len(low)), length)
     left = ends[doc] - np.arange(len(raw)) if len(raw) else np.zeros(0, np.int64)
     rolled, docs, found = raw.astype(np.uint64) + np.uint64(1), [], []
     for n in range(2, max(SIZES) + 1):
@@ -145,21 +148,22 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     """A model from the labelled rows that aren't held out; of more than `sample` those first by hash. Rows without a label (null) are passed over."""
     known = plain(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out())
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-    rows = plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id", "text").limit(2 * sample)
+    # Rows that repeat a labelled doc_id count once; a dropped one has the same label and, as doc_ids name documents, the same text.
+    rows = plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id")
     got = rows.select("text", "toxic").toArrow()
     return fit(got["text"].combine_chunks(), got["toxic"].to_numpy())
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` (0 to 1) behind its columns, from the text alone."""
+def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with `score` (0 to 1) behind its columns, from the text alone; docs has no other column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.intercept, model.per_length))  # 4 MB at any size
 
     def run(batches):
-        release()
         own = Model(*sent.value)
         for big in batches:
-            for batch in batches_by_bytes(big, "text", 500_000):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch["text"]), pa.float64())], names=[*batch.schema.names, "score"])
+            for batch in batches_by_bytes(big, text, 500_000):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch[text]), pa.float64())], names=[*batch.schema.names, "score"])
+        trimmed()
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
 
@@ -172,7 +176,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns as they were."""
-    named = [F.col(f"`{c}`") for c in docs.columns]
-    scored = with_score(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, fit_documents(docs, labels))
-    out = scored.where(F.col("score") < threshold).drop("score")
-    return (out.withColumnRenamed("__score", "score") if "__score" in out.columns else out).select(*named)
+    scored = with_score(numbered(docs), fit_documents(docs, labels), place(docs, "text"))
+    return scored.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
