@@ -280,14 +280,35 @@ def test_sum_of_squares_against_its_definition():
             counts = collections.Counter(g for g in after if 0 < g < 40)
             return sum(n * n for n in counts.values())
 
-        options = [cost([*gaps, 40 - s])] + [cost([*gaps[:i], g - s, *gaps[i + 1 :]]) for i, g in enumerate(gaps) if g >= s]
+        options = [cost([*gaps[:i], g - s, *gaps[i + 1 :]]) for i, g in enumerate(gaps) if g >= s]
+        assert (b == len(gaps)) == (not options)
         if b == len(gaps):
             gaps.append(40)
+            options = [cost([*gaps[:-1], 40 - s])]
         assert places is not None and p == 40 - gaps[b] and gaps[b] >= s
         gaps[b] -= s
         assert cost(gaps) == min(options)
 
 
+def test_packing_is_near_its_bound(spark, monkeypatch):
+    from tideframe.llm import packing as P
+
+    rng = np.random.default_rng(8)
+    sizes = np.concatenate([rng.integers(20, 900, 6000), np.full(900, 1024), rng.integers(1, 30, 600)])
+    items = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "key bigint, size bigint")
+    for block, over in ((20_000, 1.001), (1000, 1.01)):
+        monkeypatch.setattr(P, "BLOCK_ITEMS", block)
+        got = P.pack(items, 1024).collect()
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.sequence_id].append((r.offset, int(sizes[r.key])))
+        assert len(got) == len(sizes)
+        for s in by.values():
+            s.sort()
+            assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[-1][0] + s[-1][1] <= 1024
+        assert len(by) <= over * -(-int(sizes.sum()) // 1024) + 1
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -436,9 +457,13 @@ def test_components(spark):
 PAGES = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (5, None, "<p>x</p>"), (3, "http://c\r\nX: y", "äß"), (4, "http://d", None), (6, "http://e", ""), (None, "http://f", "only"), (7, "http://g", "z" * 300_000), (7, "http://g", "z" * 300_000)]
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_warc(spark, sent, monkeypatch):
+    from tideframe.llm import warc
     from tideframe.llm.warc import archive
 
+    monkeypatch.setattr(warc, "SENT", sent)
+
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id bigint, url string, html string, payload string")
     got = collections.Counter(tuple(r) for r in archive(pages).collect())
     want = collections.Counter()
@@ -493,6 +518,11 @@ def test_toxicity(spark, docs, rows, empty):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     awkward = toxicity(docs, labels).collect()
     assert len(awkward) == len(rows) and not any(r.score is None for r in awkward)
+    # Rejected rows are those that score high, whatever other columns are called.
+    named = table.selectExpr("doc_id", "text", "1 as Score", "2 as __score", "3 as score_", "4 as c0")
+    stay = keep_clean(named, labels)
+    assert stay.columns == named.columns
+    assert {r.doc_id for r in stay.collect()} == {i for i in got if not got[i].predicted} and 0 < stay.count() < 400
     out = keep_clean(docs, labels.where("false"))
     assert out.columns == docs.columns and out.count() == len(rows)  # nothing learned, nothing rejected
     assert toxicity(empty, labels).count() == 0
@@ -527,6 +557,41 @@ def test_fit_counts_is_exact_where_it_can_be():
     assert int((big * np.array([7, 11, 10_000])).sum()) == 9_000_001
 
 
+def test_fit_counts_beyond_the_table(monkeypatch):
+    """Against all subsets: lengths far beyond the program's table, where the greedy choice is far off."""
+    import itertools
+
+    from tideframe.llm.mixing import fit_counts
+
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        lengths = rng.choice(np.arange(70_000, 900_000), 8, replace=False)
+        counts = np.ones(8, np.int64)
+        budget = int(rng.integers(70_000, lengths.sum()))
+        take = fit_counts(lengths, counts, budget)
+        got = int((take * lengths).sum())
+        best = max(sum(x) for k in range(9) for x in itertools.combinations(lengths.tolist(), k) if sum(x) <= budget)
+        assert got <= budget and got >= 0.999 * best
+
+
+def test_names_that_clash(spark):
+    """Columns that differ by case only, or have the names that operators use, are carried as they are."""
+    from tideframe.llm.exact_dedup import keep_first
+    from tideframe.llm.mixing import mix_documents
+    from tideframe.llm.ngram_join import keep_one
+
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        docs = spark.range(20).selectExpr("id as doc_id", "concat('text number ', cast(id % 7 as string), ' and more of it') as text", "'x' as source", "1 as Text", "2 as DOC_ID", "3 as __id", "4 as __key", "5 as sha", "6 as c1", "7 as `a b`", "8 as copy")
+        for keep, n in ((keep_first, 7), (keep_one, 7), (mix_documents, None)):
+            out = keep(docs)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert (n is None or len(rows) == n) and all(tuple(r)[3:] == (1, 2, 3, 4, 5, 6, 7, 8) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+
+
 def test_mix(docs, rows, empty):
     from tideframe.llm.mixing import mix_documents, plan_mix, targets
 

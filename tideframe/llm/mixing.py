@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import plain, staged
+from .common import numbered, place, plain, staged
 
 #: Widest remaining budget that the dynamic program covers, in tokens.
 TABLE = 1 << 16
+#: Units of a room that a length needs to be fitted in them.
+LONG = 16
 #: Documents of one length and source among which one task ranks, about.
-RANKED = 1000
+RANKED = 250
 
 
 def word_count(text: str = "text"):
@@ -51,39 +53,21 @@ def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most:
     return out
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length (positive, distinct) to take, so that they sum to at most budget, as near as found.
-
-    Each length gives its share of the budget rounded down, and whole documents of what is left are given from the longest
-    down until it is within TABLE, first so that half a TABLE stays, then, where only longer documents are left, of any length
-    that fits; over TABLE a dynamic program with the remaining counts fits the rest.
-    """
-    total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    take = counts * budget // total if total else counts * 0
-    left = budget - int((take * lengths).sum())
-    for spare in (TABLE // 2, 0):
-        for i in np.argsort(-lengths, kind="stable").tolist():
-            if left <= TABLE:
-                break
-            more = min(int(counts[i] - take[i]), max(0, left - spare) // int(lengths[i]))
-            take[i] += more
-            left -= more * int(lengths[i])
-    left = min(left, budget)
-    if left > TABLE:
-        return take
+def _best_sum(lengths: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
+    """How many of each length to take, so that they sum to as much of the room as they can: a bounded-knapsack program."""
+    take = counts * 0
     # Reachable sums as the bits of a number, one number after each bundle of 1, 2, 4 ... documents of a length.
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    mask, reach, steps = (1 << (room + 1)) - 1, 1, []
     for i in np.argsort(-lengths, kind="stable").tolist():
-        size, rest, k = int(lengths[i]), int(min(counts[i] - take[i], left // max(1, lengths[i]))), 1
-        while rest > 0 and not reach >> left & 1:
+        size = int(lengths[i])
+        rest, k = int(min(counts[i], room // max(1, size))), 1
+        while rest > 0 and not reach >> room & 1:
             n = min(k, rest)
             steps.append((i, n, reach))
             reach |= reach << (n * size) & mask
             rest -= n
             k *= 2
-        if reach >> left & 1:
+        if reach >> room & 1:
             break
     at = reach.bit_length() - 1
     for i, n, before in reversed(steps):
@@ -93,6 +77,39 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take
 
 
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length (positive, distinct) to take, so that they sum to at most budget, as near as found.
+
+    Each length gives its share of the budget rounded down. While more than TABLE is left, the room is counted in TABLE units: lengths of LONG
+    units and more are fitted by the program, rounded up; where there are only shorter ones, they are given from the longest down, so
+    that half a TABLE stays. Within TABLE the program is exact.
+    """
+    total = int((lengths * counts).sum())
+    if budget >= total:
+        return counts.copy()
+    take = counts * budget // total if total else counts * 0
+    left = budget - int((take * lengths).sum())
+    while left > TABLE:
+        unit = -(-left // TABLE)
+        may = np.minimum(counts - take, left // lengths)
+        long = np.flatnonzero((may > 0) & (lengths >= LONG * unit))
+        more = counts * 0
+        if len(long):
+            more[long] = _best_sum(-(-lengths[long] // unit), may[long], left // unit)
+        else:
+            rest = left - TABLE // 2
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                more[i] = max(0, min(int(may[i]), rest // int(lengths[i])))
+                rest -= int(more[i]) * int(lengths[i])
+        if not more.any():  # rounded up, nothing fits: the longest that does
+            if not may.any():
+                return take
+            more[max(np.flatnonzero(may).tolist(), key=lambda i: int(lengths[i]))] = 1
+        take = take + more
+        left -= int((more * lengths).sum())
+    return take + _best_sum(lengths, np.minimum(counts - take, left // lengths), left)
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target (its source's), times (how often it is taken), taken (words).
 
@@ -147,7 +164,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share:
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
     """docs with each row as often as the mix takes it; all columns as they were. Rows that share a doc_id are taken together."""
-    times = plan_mix(docs, weights, share, most, seed).groupBy("doc_id").agg(F.max("times").alias("__times"))
-    joined = docs.withColumnRenamed("doc_id", "__id").join(times.withColumnRenamed("doc_id", "__own"), F.col("__id").eqNullSafe(F.col("__own")))
-    out = joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*[F.col("__id").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
+    times = plan_mix(docs, weights, share, most, seed).groupBy(F.col("doc_id").alias("own")).agg(F.max("times").alias("times")).where("times > 0")
+    own = numbered(docs)
+    joined = own.join(times, F.col(place(docs, "doc_id")).eqNullSafe(F.col("own")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*own.columns).toDF(*docs.columns)

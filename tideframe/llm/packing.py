@@ -1,9 +1,12 @@
 """Best-fit packing by sums of squares.
 
-An item goes where the sum of the squared numbers of open bins per residual gap becomes smallest: into the bins of the
-gap h that minimises N(h - s) - N(h), or into a new one. Items are packed in blocks of about BLOCK_ITEMS, dealt by a hash of the
-document, largest first; then the bins that a block left unfilled are items of a second round, so that blocks share
-their gaps. Only lengths, never ids, are moved.
+An item goes where the sum of the squared numbers of open bins per residual gap becomes smallest: among the bins with room for it, into one
+of the gap h that minimises N(h - s) - N(h); a new bin is opened where none has room. Items are packed in blocks of about
+BLOCK_ITEMS, dealt by a hash of the document, largest first, so that the small ones fill what is left. Then the bins that a block filled
+worst are dissolved and their items packed again together, where that takes fewer bins. Only lengths, never ids, are moved.
+
+Null text is empty: one piece of one id. Repeated rows are packed each; ties are settled by the order of the pieces' keys, so reruns over the same
+stored pieces agree. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import batches_by_bytes, plain, staged, trimmed
 from .tokens import SLICE, encoder, with_end
 
-#: Items of a block, about: one task packs a block.
-BLOCK_ITEMS = 20_000
+#: Items of a block, about: one task packs a block; and the share of a bin below which it is dissolved.
+BLOCK_ITEMS, DISSOLVED = 20_000, 0.97
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,14 +33,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     bins, places, made = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
     for i, s in enumerate(sizes.tolist()):
         # The change of the sum of squares, halved and less its constant: gap h turns into h - s; full bins don't count.
-        gain = counts[: capacity + 1 - s] - counts[s:]
+        fits = counts[s:]
+        gain = counts[: capacity + 1 - s] - fits
         if s < capacity:
-            gain[0] = -counts[s]
-        gain = np.where(counts[s:] > 0, gain, np.iinfo(np.int64).max)
-        best = int(np.argmin(gain)) + s
-        # A new bin adds 2 N(capacity - s) + 1, a used one 2 (N(h - s) - N(h)) + 2, or 1 less where it is filled.
-        fresh = 2 * counts[capacity - s] + 1 if s < capacity else 0
-        if counts[best] > 0 and 2 * gain[best - s] + (1 if best == s else 2) <= fresh:
+            gain[0] = -fits[0]
+        gain = np.where(fits > 0, gain, np.iinfo(np.int64).max)
+        best = int(np.argmin(2 * np.minimum(gain, 1 << 40) - (np.arange(len(gain)) == 0))) + s  # a filled bin leaves the sum: half a step more
+        if counts[best] > 0:
             b = stacks[best].pop()
             counts[best] -= 1
             gap = best
@@ -87,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, p
 
 
 def _packed(items: DataFrame, capacity: int, n: int) -> DataFrame:
-    """items (block key columns of `key`, size): adds block, bin and place."""
+    """items (key, size) with block, bin and place."""
     blocks = max(1, -(-n // BLOCK_ITEMS))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).cast("int"))
 
@@ -106,19 +108,17 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
     Within a sequence, offsets run from 0 without gaps. Reruns over the same items agree. Empty input gives no rows.
     """
-    n = items.count()
-    first = staged(_packed(items, capacity, n), "packed")
-    ids = F.col("block").cast("bigint") * (1 << 32) + F.col("bin")
-    bins = first.groupBy(ids.alias("key")).agg(F.sum("size").alias("size"))
-    partial = staged(bins.where(F.col("size") < capacity), "unfilled")
-    again = _packed(partial, capacity, partial.count()).select(F.col("key").alias("own"), (F.col("block").cast("bigint") * (1 << 32) + F.col("bin")).alias("to"), F.col("place").alias("base"))
-    joined = first.withColumn("own", ids).join(again, "own", "left")
-    return joined.select(
-        "key",
-        # Full sequences keep even numbers, those of the second round get odd ones.
-        F.when(F.col("to").isNull(), F.col("own") * 2).otherwise(F.col("to") * 2 + 1).alias("sequence_id"),
-        (F.col("place") + F.coalesce("base", F.lit(0))).alias("offset"),
-    )
+    first = staged(_packed(items, capacity, items.count()), "packed").withColumn("own", F.col("block").cast("bigint") * (1 << 32) + F.col("bin"))
+    worst = staged(first.groupBy("own").agg(F.sum("size").alias("filled")).where(F.col("filled") < DISSOLVED * capacity).select("own"), "dissolved")
+    met = first.join(worst.withColumn("worst", F.lit(True)), "own", "left")
+    again = staged(met.where("worst").select("key", "size"), "left-items")
+    packed = staged(_packed(again, capacity, again.count()), "packed-again")
+    # Full sequences keep even numbers, those of the second round get odd ones.
+    plainly = lambda df: df.select("key", (F.col("own") * 2).alias("sequence_id"), F.col("place").alias("offset"))
+    if packed.select("block", "bin").distinct().count() >= worst.count():
+        return plainly(first)
+    second = packed.select("key", ((F.col("block").cast("bigint") * (1 << 32) + F.col("bin")) * 2 + 1).alias("sequence_id"), F.col("place").alias("offset"))
+    return plainly(met.where("worst is null")).unionByName(second)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) -> DataFrame:

@@ -6,6 +6,8 @@ pushed down, and the payload of a record that they reject, or that nobody asks f
 each task's records in archives of about FILE_BYTES under names of its own and lists those of successful tasks in a
 manifest, so archives of lost or repeated tasks are never read. Files are reached through pyarrow's file systems by URI.
 
+Columns of pages beyond page_id, url and html are ignored, whatever their names; repeated rows are records each.
+
 Options: path; payload ("false": the column payload is null); verify ("true": every payload that a response holds is held
 against its digest, and a difference fails the read).
 """
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .common import plain, staged, work_path
+from .common import Bloom, build_bloom, plain, staged, work_path
 
 FILE_BYTES = 64_000_000
+#: Repeated payloads that are sent to all tasks, at most: 28 bytes of each.
+SENT = 200_000
 ROWS = 512
 BATCH_BYTES = 8_000_000
 MANIFEST = "manifest.json"
@@ -278,10 +282,27 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     own = plain(pages, "page_id", "url", "html").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).drop("html").withColumn("sha", F.unhex(F.sha1("payload")))
     large = F.octet_length("payload") >= least_bytes
     groups = own.where(large).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
-    # Written first, so that the join is planned by its real size.
     groups = staged(groups.select(F.col("sha").alias("of"), "last"), "repeated-payloads")
-    refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    out = own.join(groups, F.col("sha") == F.col("of"), "left").select("page_id", "url", "payload", refers.cast("bigint").alias("refers_to"))
+    refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).cast("bigint").alias("refers_to")
+    shape = lambda df: df.join(groups if n > SENT else F.broadcast(groups), F.col("sha") == F.col("of"), "left").select("page_id", "url", "payload", refers)
+    n = groups.count()
+    if n <= SENT:
+        out = shape(own)
+    else:  # payloads move only where a filter holds their digest for repeated
+        bloom = Bloom.sized(n, 24)
+        sent = spark.sparkContext.broadcast(build_bloom(groups.select(F.xxhash64("of").alias("h")), bloom))
+        keyed = own.withColumn("h", F.xxhash64("sha"))
+
+        def split(wanted: bool):
+            def run(batches):
+                for batch in batches:
+                    found = bloom.has(sent.value, batch["h"].to_numpy())
+                    yield batch.filter(pa.array(found if wanted else ~found))
+
+            return keyed.mapInArrow(run, keyed.schema)
+
+        alone = split(False).select("page_id", "url", "payload", F.lit(None).cast("bigint").alias("refers_to"))
+        out = alone.unionByName(shape(split(True)))
     out.write.format("tideframe-warc").mode("append").option("path", path).save()
 
 
@@ -291,7 +312,14 @@ def read_pages(spark: SparkSession, path: str, payload: bool = True, verify: boo
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Writes and reads back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes and reads back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Responses are read with their payloads, each held against its digest; revisits by a pushed predicate on the record type, so that their
+    reading passes over every payload. An empty table gives no rows.
+    """
     path = work_path(pages.sparkSession, "warc")
     write_pages(pages, path)
-    return read_pages(pages.sparkSession, path, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = read_pages(pages.sparkSession, path, payload=False, verify=True).where("record_type = 'response'")
+    revisits = read_pages(pages.sparkSession, path, payload=False).where("record_type = 'revisit'")
+    return responses.select(*columns).unionByName(revisits.select(*columns))
