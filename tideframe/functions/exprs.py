@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MAX_PRICE, MAX_QUANTITY, SIDES
@@ -32,30 +32,44 @@ def as_decimal(text: Column) -> Column:
     return F.when(is_number(text), stripped(text).try_cast("decimal(38,18)"))
 
 
-def _first(text: Column, whole: bool) -> Column:
-    t = stripped(text)
+def violation(text: Column, t: Column, number: Column, value: Column, whole: bool) -> Column:
+    """Why a text isn't a price, or with `whole` a quantity (the first reason, most fundamental first), or null. t is the text without
+    white space around it, number whether it is one, value what as_decimal() makes of it."""
     mantissa = F.regexp_replace(t, r"[eE].*$", "")
     positive = ~t.startswith("-") & mantissa.rlike("[1-9]")
-    value = t.try_cast("decimal(38,18)")
     limit = F.lit(str(MAX_QUANTITY) if whole else MAX_PRICE).cast("decimal(38,18)")
     # Digits behind the point that carry information; those of plain numbers are read off the text, as a cast would round them.
-    plain = ~t.rlike("[eE]")
     digits = F.length(F.regexp_replace(F.regexp_extract(t, r"\.([0-9]*)", 1), "0+$", ""))
     most = 0 if whole else 6
-    exact = F.when(plain, digits <= most).otherwise(value == F.round(value, most))
-    out = F.when(text.isNull(), "not_a_number").when(t.rlike(_NOT_FINITE), "non_finite").when(~t.rlike(_NUMBER), "not_a_number").when(~positive, "not_positive")
+    exact = F.when(t.rlike("[eE]"), value == F.round(value, most)).otherwise(digits <= most)
+    out = F.when(text.isNull(), "not_a_number").when(~number, F.when(t.rlike(_NOT_FINITE), "non_finite").otherwise("not_a_number")).when(~positive, "not_positive")
     out = out.when(value.isNull() | (value > limit), "magnitude_too_large")
     return out.when(~exact, "not_whole" if whole else "too_many_fractional_digits")
 
 
 def price_violation(text: Column) -> Column:
     """Why a text isn't a price (the first reason, most fundamental first), or null."""
-    return _first(text, False)
+    return violation(text, stripped(text), is_number(text), as_decimal(text), False)
 
 
 def quantity_violation(text: Column) -> Column:
     """Why a text isn't a quantity, or null."""
-    return _first(text, True)
+    return violation(text, stripped(text), is_number(text), as_decimal(text), True)
+
+
+def price(text: Column) -> Column:
+    """A valid price as decimal(18,6); anything else fails, with the text and the reason."""
+    return _or_fail(text, price_violation(text), "price").cast("decimal(18,6)")
+
+
+def quantity(text: Column) -> Column:
+    """A valid quantity as decimal(20,0); anything else fails, with the text and the reason."""
+    return _or_fail(text, quantity_violation(text), "quantity").cast("decimal(20,0)")
+
+
+def _or_fail(text: Column, why: Column, what: str) -> Column:
+    said = F.concat(F.lit(f"not a {what}: "), F.coalesce(text, F.lit("null")), F.lit(" ("), why, F.lit(")"))
+    return F.when(why.isNull(), as_decimal(text)).otherwise(F.raise_error(said).cast("decimal(38,18)"))
 
 
 #: Issue code of a violation, for prices and for quantities.
@@ -79,22 +93,36 @@ def from_fixed_point(value: Column) -> Column:
     return (value.cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)")
 
 
-def timestamp_status(text: Column) -> Column:
-    """valid, not_datetime, naive or non_utc, of an ISO-8601 text; the offset is read off the text."""
-    t = stripped(text)
-    shaped = t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2}(:[0-9]{2})?)?)?$")
-    local = F.regexp_replace(F.regexp_replace(t, r"(Z|[+-][0-9]{2}:?[0-9]{2}(:[0-9]{2})?)$", ""), "[,]", ".")
+_OFFSET = r"(Z|[+-][0-9]{2}:?[0-9]{2}(:[0-9]{2})?)$"
+
+
+def time_shape(t: Column) -> dict[str, Column]:
+    """Of an ISO-8601 text without white space around it: at_shaped, at_offset (empty where there is none), at_local (its local time or null)."""
     bare = t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
-    parsed = F.when(bare, t).otherwise(local).try_cast("timestamp_ntz")
-    offset = F.when(bare, "").otherwise(F.regexp_extract(t, r"(Z|[+-][0-9]{2}:?[0-9]{2}(:[0-9]{2})?)$", 1))
+    local = F.when(bare, t).otherwise(F.regexp_replace(F.regexp_replace(t, _OFFSET, ""), "[,]", "."))
+    return {
+        "at_shaped": t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2}(:[0-9]{2})?)?)?$"),
+        "at_offset": F.when(bare, "").otherwise(F.regexp_extract(t, _OFFSET, 1)),
+        "at_local": local.try_cast("timestamp_ntz"),
+    }
+
+
+def time_status(t: Column, shaped: Column, offset: Column, local: Column) -> Column:
+    """valid, not_datetime, naive or non_utc; the offset is read off the text."""
     zero = (offset == "Z") | offset.rlike(r"^[+-]00:?00(:00)?$")
-    return F.when(t.isNull() | ~shaped | parsed.isNull(), "not_datetime").when(offset == "", "naive").when(~zero, "non_utc").otherwise("valid")
+    return F.when(t.isNull() | ~shaped | local.isNull(), "not_datetime").when(offset == "", "naive").when(~zero, "non_utc").otherwise("valid")
+
+
+def timestamp_status(text: Column) -> Column:
+    """valid, not_datetime, naive or non_utc, of an ISO-8601 text."""
+    t = stripped(text)
+    shape = time_shape(t)
+    return time_status(t, shape["at_shaped"], shape["at_offset"], shape["at_local"])
 
 
 def utc_micros(text: Column) -> Column:
     """Microseconds since the epoch of a valid text, else null."""
-    local = F.regexp_replace(F.regexp_replace(stripped(text), r"(Z|[+-]00:?00(:00)?)$", ""), "[,]", ".")
-    return F.when(timestamp_status(text) == "valid", F.unix_micros(local.try_cast("timestamp_ntz").cast("timestamp")))
+    return F.when(timestamp_status(text) == "valid", F.unix_micros(time_shape(stripped(text))["at_local"].cast("timestamp")))
 
 
 def symbol_violation(symbol: Column) -> Column:
@@ -143,6 +171,24 @@ def contract_parts(text: Column) -> dict[str, Column]:
     }
 
 
+def is_product(text: Column) -> Column:
+    return F.coalesce(text.rlike(PRODUCT), F.lit(False))
+
+
+def product_parts(text: Column) -> dict[str, Column]:
+    """venue and root of a product; null for anything else, contracts and continuous ids included."""
+    ok, part = is_product(text), F.split(text, ":")
+    return {"venue": F.when(ok, part.getItem(0)), "root": F.when(ok, part.getItem(1))}
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each worked out once for a row: the optimizer doesn't carry expressions through a generator, so neither
+    filters nor later columns repeat them."""
+    row = F.struct(*[c.alias(k) for k, c in columns.items()])
+    own = df.select("*", F.explode_outer(F.array(row)).alias("__once"))
+    return own.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], *[F.col(f"__once.{k}").alias(k) for k in columns])
+
+
 def month_number(code: Column) -> Column:
     """1 to 12, or null for what isn't a month code."""
     at = F.instr(F.lit(MONTH_CODES), code)

@@ -89,7 +89,7 @@ def replay_range(spark, sf):
     return R.select_range(A.trades(spark, sf), JAN + 7 * A.DAY_US, JAN + 14 * A.DAY_US).select("ordinal", "at_us", "symbol", "price_fp")
 
 
-@query(f"WITH {A.T}, s AS (SELECT symbol, size, min(at_us) AS lo, max(at_us) AS hi FROM t WHERE ordinal % 50 = 0 GROUP BY symbol, size) SELECT x.symbol || '/' || x.size AS a, y.symbol || '/' || y.size AS b FROM s x JOIN s y ON x.symbol = y.symbol AND x.symbol || '/' || x.size < y.symbol || '/' || y.size AND x.hi >= y.lo AND y.hi >= x.lo")
+@query(f"WITH {A.T}, s AS (SELECT symbol, size, min(at_us) AS lo, max(at_us) AS hi FROM t GROUP BY symbol, size) SELECT x.symbol || '/' || x.size AS a, y.symbol || '/' || y.size AS b FROM s x JOIN s y ON x.symbol = y.symbol AND x.symbol || '/' || x.size < y.symbol || '/' || y.size AND x.hi >= y.lo AND y.hi >= x.lo")
 def replay_overlap_conflicts(spark, sf):
     t = A.trades(spark, sf).withColumn("source", F.concat_ws("/", "symbol", "size"))
     about = t.groupBy("source").agg(F.min("symbol").alias("contract")).withColumn("record_type", F.lit("trade"))
@@ -599,7 +599,7 @@ def _tree(spark, sf):
     return o.select(F.floor(F.col("o_orderkey") / 2).cast("bigint").alias("a"), F.col("o_orderkey").alias("b"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("relation_hash"))
 
 
-EDGES = "e AS (SELECT o_orderkey // 2 AS a, o_orderkey AS b, sha256(CAST(o_orderkey AS VARCHAR)) AS relation_hash FROM orders WHERE o_orderkey BETWEEN 2 AND 4000)"
+EDGES = "e AS (SELECT o_orderkey // 2 AS a, o_orderkey AS b, sha256(CAST(o_orderkey AS VARCHAR)) AS relation_hash FROM orders WHERE o_orderkey >= 2)"
 
 
 @query(f"WITH {EDGES} SELECT a, b, relation_hash FROM e")
@@ -613,7 +613,7 @@ def lineage_descendants(spark, sf):
     return L.reachable(_tree(spark, sf), spark.createDataFrame([(3,), (5,), (40,), (77,)], "start bigint"))
 
 
-@query(f"WITH RECURSIVE {EDGES}, walk(start, node) AS (SELECT b, a FROM e WHERE b % 500 = 1 UNION SELECT walk.start, e.a FROM walk JOIN e ON e.b = walk.node) SELECT start, node FROM walk")
+@query(f"WITH RECURSIVE {EDGES}, walk(start, node) AS (SELECT b, a FROM e UNION SELECT walk.start, e.a FROM walk JOIN e ON e.b = walk.node) SELECT start, node FROM walk")
 def lineage_ancestors(spark, sf):
     e = _tree(spark, sf)
     return L.reachable(e, e.select("b"), backwards=True)
@@ -663,7 +663,7 @@ def catalog_best_outcome(spark, sf):
     return G.best_outcome(G.outcomes(*_claims(spark, sf)).where("manifest_hash is not null"))
 
 
-@query("SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS manifest_hash, 'f/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS location FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0")
+@query("SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS manifest_hash, 'f/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS location FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def catalog_locate(spark, sf):
     o, l = A.load(spark, sf, "orders"), A.load(spark, sf, "lineitem")
     m = o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("manifest_hash"), F.col("o_orderkey").alias("physical_hash"))
