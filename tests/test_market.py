@@ -45,7 +45,7 @@ def test_semantic_hash(spark):
     df = trades(spark, [(1, BASE + 1_000_000, 4_500_500_000, Decimal(2), "sell"), (0, BASE, 4_500_250_000, Decimal(1), "buy")])
     want = "735474d8ceb9b2294e6d448ca770fcf986eda91b66a7395c7c75556281497f77"
     assert N.semantic_hash(df, "trade", CONTRACT).first().semantic_hash == want
-    assert N.stream_hash(df, "trade", CONTRACT, block=1) == want
+    assert N.stream_hash(df.repartition(2), "trade", CONTRACT) == want
 
 
 @pytest.mark.parametrize("value", [0, 1, -1, 2**63 - 1, 2**63, 2**64 - 1, -(2**63)])
@@ -340,7 +340,7 @@ def test_publishing_relations(tmp_path):
     L.verify_index(root)
     with pytest.raises(L.MissingRelation):
         L.read_relation(root, "d" * 64)
-    (L.relations_folder(root) / "x.json.1.partial").write_bytes(b"")
+    (Path(L.relations_folder(root)) / "x.json.1.partial").write_bytes(b"")
     assert L.partials(root) == ["x.json.1.partial"]
     with pytest.raises(KeyError):
         L.publish_relation(root, L.build_relation("d" * 64, [a]), about_.__getitem__)
@@ -392,8 +392,8 @@ def test_catalog(spark, tmp_path):
 
 def test_migration(spark, tmp_path):
     artifact(spark, tmp_path / "old.parquet", None)
-    for bad, what in (({}, "unmapped"), ({"ESM6": CONTRACT, "NQM6": CONTRACT}, "unused")):
-        with pytest.raises(G.Migration if bad else Exception, match=what if bad else ""):
+    for bad, what in (({"NQM6": CONTRACT}, "unmapped"), ({"ESM6": CONTRACT, "NQM6": CONTRACT}, "unused")):
+        with pytest.raises(G.Migration, match=what):
             G.migrate(spark, str(tmp_path / "old.parquet"), str(tmp_path / "new.parquet"), bad)
     assert G.migrate(spark, str(tmp_path / "old.parquet"), str(tmp_path / "new.parquet"), {"ESM6": CONTRACT}) == CONTRACT
     assert S.read_artifact(spark, str(tmp_path / "new.parquet"), CONTRACT)[0].count() == 3
@@ -445,8 +445,8 @@ def test_streamed_frames(spark, tmp_path):
         part = spark.createDataFrame([(F_, t) for F_, t in rows[k * 10 : k * 10 + 10]], "ordinal bigint, us bigint")
         part.select(F.timestamp_micros("us").alias("timestamp"), F.lit("s").alias("source"), "ordinal", F.lit(1).cast("bigint").alias("size")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     events = T.read_events(spark, str(tmp_path / "in"), "timestamp timestamp, source string, ordinal bigint, size bigint")
-    got = T.run_to_table(T.frames(events), "streamed", str(tmp_path / "ck"))
+    got = T.run_to_table(T.frames(events), str(tmp_path / "streamed"), str(tmp_path / "ck"))
     assert sorted(r.n_events for r in got.collect()) == [3] * 10
     back = events.withColumn("timestamp", F.when(F.col("ordinal") == 17, F.timestamp_micros(F.lit(BASE))).otherwise(F.col("timestamp")))
-    found = T.run_to_table(T.steps_back(back), "backwards", str(tmp_path / "ck2"))
+    found = T.run_to_table(T.steps_back(back), str(tmp_path / "backwards"), str(tmp_path / "ck2"))
     assert [r.ordinal for r in found.collect()] == [17]

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from tideframe.plans import market_queries as Q
+from tideframe.plans import stored_queries  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are elsewhere")
@@ -38,5 +39,5 @@ def test_against_oracle(spark, duck, name):
 
 
 def test_the_rest_runs(spark):
-    for name in set(Q.QUERIES) - set(Q.SQL):
+    for name in sorted(set(Q.QUERIES) - set(Q.SQL)):
         assert Q.QUERIES[name](spark, str(DATA)).count() > 0

@@ -50,32 +50,32 @@ def header(record_type: str, contract: str) -> bytes:
 def semantic_hash(records: DataFrame, record_type: str, contract: str, order: str = "ordinal", raw: str = "raw") -> DataFrame:
     """One row: semantic_hash, row_count, of records' bytes in order.
 
-    SHA-256 is a chain over the stored order. One row holds the bytes up to about 2 GB; stream_hash() has no such bound.
+    SHA-256 is a chain over the stored order. All executors sort; one task takes the sorted ranges one after the other and holds a batch of
+    rows at a time, so neither it nor the driver grows with the dataset.
     """
-    rows = records.agg(F.expr(f"listagg(hex({raw})) within group (order by {order})").alias("h"), F.count(F.lit(1)).alias("row_count"))
-    text = F.concat(F.lit(header(record_type, contract).hex()), F.coalesce("h", F.lit("")), F.lpad(F.hex("row_count"), 16, "0"))
-    return rows.select(F.sha2(F.unhex(text), 256).alias("semantic_hash"), "row_count")
+    begin = header(record_type, contract)
 
-
-def stream_hash(records: DataFrame, record_type: str, contract: str, order: str = "ordinal", raw: str = "raw", block: int = 65_536) -> str:
-    """The same digest in bounded memory: blocks of bytes are put together on the executors and reach the driver one partition at a time."""
-    ranged = records.repartitionByRange(order).sortWithinPartitions(order).select(raw)
-
-    def blocks(batches):
+    def digest(batches):
         import pyarrow as pa
 
+        out, n = hashlib.sha256(begin), 0
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            for i in range(0, len(values), block):
-                part = values[i : i + block]
-                yield pa.record_batch([pa.array([b"".join(part)], pa.binary()), pa.array([len(part)], pa.int64())], names=["part", "n"])
-
-    digest, n = hashlib.sha256(header(record_type, contract)), 0
-    for row in ranged.mapInArrow(blocks, "part binary, n bigint").toLocalIterator():
-        digest.update(row.part)
-        n += row.n
-    digest.update(struct.pack(">Q", n))
-    return digest.hexdigest()
+            for value in batch.column(0).to_pylist():
+                out.update(value)
+            n += batch.num_rows
+        out.update(struct.pack(">Q", n))
+        yield pa.record_batch([pa.array([out.hexdigest()]), pa.array([n], pa.int64())], names=["semantic_hash", "row_count"])
+
+    ranged = records.select(order, raw).repartitionByRange(order).sortWithinPartitions(order).select(raw)
+    found = ranged.coalesce(1).mapInArrow(digest, "semantic_hash string, row_count bigint")
+    # No rows, no task: the digest of nothing.
+    none = hashlib.sha256(begin + struct.pack(">Q", 0)).hexdigest()
+    return found.agg(F.coalesce(F.first("semantic_hash"), F.lit(none)).alias("semantic_hash"), F.coalesce(F.first("row_count"), F.lit(0)).cast("bigint").alias("row_count"))
+
+
+def stream_hash(records: DataFrame, record_type: str, contract: str, order: str = "ordinal", raw: str = "raw") -> str:
+    """The digest alone, on the driver."""
+    return semantic_hash(records, record_type, contract, order, raw).first().semantic_hash
 
 
 def canonical_json(payload: Any) -> bytes:

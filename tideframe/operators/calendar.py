@@ -19,6 +19,7 @@ from pyspark.sql import Window
 
 from ..functions import exprs as E
 from ..functions.encoding import content_hash
+from .cut import materialized
 
 CALENDAR_FORMAT = "qrt-materialized-calendar/1"  # fixed
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -152,7 +153,7 @@ def materialize(spark: SparkSession, definition: Definition) -> DataFrame:
     local = _local_windows(spark, definition)
     (s, why_s), (e, why_e) = E.local_to_utc(F.col("start"), definition.timezone), E.local_to_utc(F.col("end"), definition.timezone)
     out = local.select(F.unix_micros(s).alias("start_us"), F.unix_micros(e).alias("end_us"), "state", "trading_date", "rule_key", F.coalesce(why_s, why_e).alias("why"), "start")
-    out = out.persist()  # a few windows for each date
+    out = materialized(out)  # a few windows for each date, read by the checks and then by whoever asks
     for why, error in (("nonexistent", NonexistentLocalTime), ("ambiguous", AmbiguousLocalTime)):
         if bad := out.where(F.col("why") == why).take(1):
             raise error(f"{bad[0].rule_key} on {bad[0].trading_date}")

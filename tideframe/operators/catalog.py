@@ -6,13 +6,15 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Any
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import files
 from ..functions.encoding import canonical_json, record_bytes, stream_hash
 from ..schemas import PRICES, STORED, VERSION
 from . import storage, validate
@@ -150,28 +152,25 @@ def parse_manifest(raw: bytes) -> dict[str, Any]:
     return out
 
 
-def publish(path: Path, payload: bytes) -> bool:
+def publish(path: str, payload: bytes) -> bool:
     """Writes a document under its own name; the same bytes again are no change (False), others are refused."""
-    if path.exists():
-        if path.read_bytes() != payload:
-            raise Conflict(str(path))
+    if files.exists(path):
+        if files.read(path) != payload:
+            raise Conflict(path)
         return False
-    path.parent.mkdir(parents=True, exist_ok=True)
-    partial = path.with_name(f"{path.name}.{os.getpid()}.partial")
-    partial.write_bytes(payload)
-    os.replace(partial, path)
+    files.write(path, payload)
     return True
 
 
-def manifest_path(root: str, digest: str) -> Path:
-    return Path(root) / "manifests" / f"{digest}.json"
+def manifest_path(root: str, digest: str) -> str:
+    return files.join(root, "manifests", f"{digest}.json")
 
 
 def read_manifest(root: str, digest: str) -> dict[str, Any]:
     path = manifest_path(root, digest)
-    if not path.exists():
+    if not files.exists(path):
         raise MissingManifest(digest)
-    out = parse_manifest(path.read_bytes())
+    out = parse_manifest(files.read(path))
     if out["manifest_hash"] != digest:
         raise ManifestHashMismatch(digest)
     return out
@@ -179,9 +178,9 @@ def read_manifest(root: str, digest: str) -> dict[str, Any]:
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     """All published manifests, by hash: manifest_hash, semantic_hash, physical_hash, record_type, contract, row_count, schema_version."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(str(Path(root) / "manifests"))
+    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(files.join(root, "manifests"))
     schema = "manifest_hash string, semantic_hash string, physical_hash string, record_type string, contract string, row_count bigint, schema_version int, min_timestamp bigint, max_timestamp bigint"
-    return files.select(F.from_json("value", schema).alias("m")).select("m.*").orderBy("manifest_hash")
+    return raw.select(F.from_json("value", schema).alias("m")).select("m.*").orderBy("manifest_hash")
 
 
 def index_document(entries: list[tuple[str, str]]) -> bytes:
@@ -203,16 +202,12 @@ def parse_index(raw: bytes) -> list[tuple[str, str]]:
 
 
 def load_index(root: str) -> list[tuple[str, str]]:
-    path = Path(root) / "index.json"
-    return parse_index(path.read_bytes()) if path.exists() else []
+    path = files.join(root, "index.json")
+    return parse_index(files.read(path)) if files.exists(path) else []
 
 
 def write_index(root: str, entries: list[tuple[str, str]]) -> None:
-    path = Path(root) / "index.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    partial = path.with_name(f"index.json.{os.getpid()}")
-    partial.write_bytes(index_document(entries))
-    os.replace(partial, path)
+    files.write(files.join(root, "index.json"), index_document(entries))
 
 
 def with_entry(entries: list[tuple[str, str]], location: str, digest: str) -> list[tuple[str, str]]:
@@ -226,11 +221,30 @@ def without_location(entries: list[tuple[str, str]], location: str) -> list[tupl
     return [e for e in entries if e[0] != location]
 
 
+def find_by_location(entries: list[tuple[str, str]], location: str) -> tuple[str, str] | None:
+    """The entry (location, physical_hash) of a location, or None."""
+    return next((e for e in entries if e[0] == location), None)
+
+
+def entries_frame(spark: SparkSession, root: str) -> DataFrame:
+    """The index as a table: location, physical_hash."""
+    raw = spark.read.option("wholetext", "true").text(files.join(root, "index.json"))
+    listed = raw.select(F.from_json("value", "format string, entries array<struct<location: string, physical_hash: string>>").alias("d"))
+    return listed.select(F.explode("d.entries").alias("e")).select("e.location", "e.physical_hash")
+
+
+def located(entries: DataFrame, locations: DataFrame) -> DataFrame:
+    """location, physical_hash (null where the index has no entry) of many locations."""
+    return locations.select("location").distinct().join(entries, "location", "left")
+
+
 def location_of(storage_root: str, path: str) -> str:
-    try:
-        return Path(path).resolve().relative_to(Path(storage_root).resolve()).as_posix()
-    except ValueError as e:
-        raise OutsideRoot(path) from e
+    """Where a file lies below its root; one that leaves it is refused."""
+    (fs, root), (other, own) = (files.at(x) for x in (storage_root, path))
+    root, own = (os.path.realpath(x) if x.startswith("/") and isinstance(fs, pafs.LocalFileSystem) else os.path.normpath(x) for x in (root, own))
+    if fs != other or not own.startswith(f"{root}/"):
+        raise OutsideRoot(path)
+    return own[len(root) + 1 :]
 
 
 def register(spark: SparkSession, root: str, storage_root: str, path: str, manifest: dict[str, Any]) -> str:
@@ -246,7 +260,7 @@ def register(spark: SparkSession, root: str, storage_root: str, path: str, manif
 
 def verify_artifact(spark: SparkSession, path: str, manifest: dict[str, Any]) -> None:
     """Claim by claim, the cheap ones first; the first that fails is raised by its own type."""
-    if not Path(path).exists():
+    if not files.exists(path):
         raise MissingArtifact(path)
     if storage.physical_hash(path) != manifest["physical_hash"]:
         raise PhysicalMismatch(path)
@@ -266,7 +280,7 @@ def verify_artifact(spark: SparkSession, path: str, manifest: dict[str, Any]) ->
 
 def verify_location(spark: SparkSession, root: str, storage_root: str, location: str, digest: str) -> str:
     try:
-        verify_artifact(spark, str(Path(storage_root) / location), read_manifest(root, digest))
+        verify_artifact(spark, files.join(storage_root, location), read_manifest(root, digest))
     except MissingManifest:
         return "missing_manifest"
     except MissingArtifact:
@@ -313,8 +327,8 @@ def find_by_semantic_hash(manifests_: DataFrame, digest: str) -> DataFrame:
 
 def rebuild_index(spark: SparkSession, root: str, storage_root: str) -> list[tuple[str, str]]:
     """The index as the files themselves say: those whose bytes some manifest declares."""
-    files = physical_hashes(spark, storage_root)
-    rows = files.join(manifests(spark, root).select("physical_hash").distinct(), "physical_hash", "left_semi").collect()
+    found = physical_hashes(spark, storage_root)
+    rows = found.join(manifests(spark, root).select("physical_hash").distinct(), "physical_hash", "left_semi").collect()
     entries = sorted((r.location, r.physical_hash) for r in rows)
     write_index(root, entries)
     return entries
@@ -331,7 +345,7 @@ def mapping_findings(symbols: DataFrame, mapping: DataFrame, contract: str | Non
 
 def migrate(spark: SparkSession, source: str, target: str, mapping: dict[str, str], allow_unused: bool = False) -> str:
     """Rewrites a version 2 artifact as version 3 under the one contract that its symbols map to; the contract is returned."""
-    if Path(source).resolve() == Path(target).resolve():
+    if os.path.realpath(files.at(source)[1]) == os.path.realpath(files.at(target)[1]):
         raise Migration("source and target are the same file")
     for c in mapping.values():
         validate_contract(c)
@@ -354,9 +368,7 @@ def migrate(spark: SparkSession, source: str, target: str, mapping: dict[str, st
 
 
 def _columns_of(path: str) -> list[str]:
-    import pyarrow.parquet as pq
-
-    return pq.read_schema(path).names
+    return storage._footer(path).names
 
 
 def validate_contract(text: str) -> str:
@@ -387,7 +399,7 @@ def import_dataset(raw: DataFrame, kind: str, path: str, contract: str | None =
 
     placed = numbered(records.withColumnRenamed("instrument_symbol", "symbol"), "at_us", "source_index", name="ordinal")
     expected = storage.stored_rows(placed, kind, contract).persist()
-    staging = f"{path}.{os.getpid()}.staging"
+    staging = f"{path}.{uuid.uuid4().hex}.staging"
     try:
         storage.write_artifact(expected, staging, kind, VERSION if contract else 2, contract)
         back, _ = storage.read_artifact(spark, staging, contract, kind)
@@ -395,9 +407,9 @@ def import_dataset(raw: DataFrame, kind: str, path: str, contract: str | None =
         columns = expected.columns
         if expected.exceptAll(again.select(*columns)).take(1) or again.select(*columns).exceptAll(expected).take(1):
             raise ReadBackFailed(path)
-        os.replace(staging, path)
+        files.move(staging, path)
     finally:
-        Path(staging).unlink(missing_ok=True)
+        files.delete(staging)
         expected.unpersist()
         raw.unpersist()
     return Imported(path, rows, report)

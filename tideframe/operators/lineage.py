@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
-import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import files
 from ..functions.encoding import canonical_json
 from .cut import materialized
 
@@ -105,22 +104,21 @@ def predecessors(edges: DataFrame, node: object) -> DataFrame:
     return edges.where(F.col("b") == node).select(F.col("a").alias("node")).distinct().orderBy("node")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, backwards: bool = False, most: int = 1_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, backwards: bool = False) -> DataFrame:
     """start, node for every node that each start leads to; a start is among them only if it lies on a cycle.
 
     Semi-naive: each round joins only the pairs that the last one found new, so cycles end by themselves and shared paths are walked
-    once. Each round is a checkpoint.
+    once, and paths may be of any length. Each round is a checkpoint.
     """
     step = materialized(edges.select(F.col("b" if backwards else "a").alias("from"), F.col("a" if backwards else "b").alias("to")).distinct())
     new = materialized(starts.toDF("start").join(step, F.col("start") == F.col("from")).select("start", F.col("to").alias("node")).distinct())
     every = new
-    for _ in range(most):
+    while True:
         found = new.join(step, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
         new = materialized(found.join(every, ["start", "node"], "left_anti"))
         if new.isEmpty():
             return every
         every = materialized(every.unionByName(new))
-    raise LineageError(f"paths of more than {most} steps")
 
 
 RECURSIVE = """
@@ -138,9 +136,9 @@ def reachable_sql(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return edges.sparkSession.sql(RECURSIVE, edges=edges.select("a", "b").distinct(), starts=starts.toDF("start"))
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that lead to themselves. Nodes without a way in or out go first, again and again, so that only what may be cyclic is walked."""
-    left = materialized(edges.select("a", "b").distinct())
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without nodes that have no way in or no way out, again and again: they lie on no cycle."""
+    left = materialized(edges)
     n = left.count()
     while n:
         into, out = left.select(F.col("b").alias("x")).distinct(), left.select(F.col("a").alias("x")).distinct()
@@ -148,7 +146,40 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         before, n = n, left.count()
         if n == before:
             break
-    return reachable(left, left.select("a").distinct()).where("start = node").select("node").orderBy("node")
+    return left
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lead to themselves, by strongly connected components: one label for each node, never all pairs.
+
+    Each node takes the largest node that leads to it; who is its own label is a root, and what leads to a root within its label is its
+    component. Components go, and what is left is labelled again.
+    """
+    left, found = _trimmed(edges.select("a", "b").distinct()), None
+    while not left.isEmpty():
+        nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+        labels = materialized(nodes.withColumn("label", F.col("node")))
+        while True:
+            into = left.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("to")).agg(F.max("label").alias("more"))
+            step = materialized(labels.join(into, F.col("node") == F.col("to"), "left").select("node", "label", F.greatest("label", F.coalesce("more", "label")).alias("next")))
+            labels = step.select("node", F.col("next").alias("label"))
+            if step.where("next <> label").isEmpty():
+                break
+        own = left.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la = lb").select("a", "b", F.col("la").alias("label"))
+        own = materialized(own)
+        inside = materialized(labels.where("node = label"))
+        new = inside
+        while not new.isEmpty():
+            back = own.join(new.select(F.col("node").alias("b"), "label"), ["b", "label"]).select(F.col("a").alias("node"), "label").distinct()
+            new = materialized(back.join(inside, ["node", "label"], "left_anti"))
+            inside = materialized(inside.unionByName(new))
+        size = inside.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        loops = left.where("a = b").select(F.col("a").alias("node")).distinct()
+        cyclic = inside.join(size, "label").where("size > 1").select("node").unionByName(inside.select("node").join(loops, "node", "left_semi")).distinct()
+        found = materialized(cyclic if found is None else found.unionByName(cyclic))
+        gone = inside.select("node").distinct()
+        left = _trimmed(left.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti"))
+    return (found if found is not None else edges.select(F.col("a").alias("node")).where("false")).orderBy("node")
 
 
 def find_cycle(edges: list[tuple[str, str]]) -> list[str] | None:
@@ -185,26 +216,26 @@ def index_document(rows: list[tuple[str, list[str]]]) -> bytes:
     return canonical_json({"format": INDEX_FORMAT, "entries": [{"manifest_hash": m, "relation_hashes": sorted(r)} for m, r in sorted(rows)]})
 
 
-def relations_folder(root: str) -> Path:
-    return Path(root) / "lineage"
+def relations_folder(root: str) -> str:
+    return files.join(root, "lineage")
 
 
 def published(root: str) -> list[Relation]:
     """All relations of a catalog, by hash, each held against its name and its own bytes."""
     out = []
-    for path in sorted(relations_folder(root).glob("*.json")):
-        found = parse_relation(path.read_bytes())
-        if found.hash != path.stem:
-            raise RelationHashMismatch(path.name)
+    for name in files.names(relations_folder(root), ".json"):
+        found = parse_relation(files.read(files.join(relations_folder(root), name)))
+        if f"{found.hash}.json" != name:
+            raise RelationHashMismatch(name)
         out.append(found)
     return out
 
 
 def read_relation(root: str, digest: str) -> Relation:
-    path = relations_folder(root) / f"{digest}.json"
-    if not path.exists():
+    path = files.join(relations_folder(root), f"{digest}.json")
+    if not files.exists(path):
         raise MissingRelation(digest)
-    found = parse_relation(path.read_bytes())
+    found = parse_relation(files.read(path))
     if found.hash != digest:
         raise RelationHashMismatch(digest)
     return found
@@ -231,7 +262,7 @@ def publish_relation(root: str, relation: Relation, manifest: Callable[[str], di
     validate_relation(manifest(relation.successor), [manifest(p) for p in relation.predecessors])
     if cycle := find_cycle(pairs_of([*published(root), relation])):
         raise LineageCycle(" to ".join(cycle))
-    new = publish(relations_folder(root) / f"{relation.hash}.json", relation.document())
+    new = publish(files.join(relations_folder(root), f"{relation.hash}.json"), relation.document())
     with contextlib.suppress(OSError):
         rebuild_index(root)
     return new
@@ -248,21 +279,17 @@ def index_rows(relations: list[Relation]) -> list[tuple[str, list[str]]]:
 def rebuild_index(root: str) -> bytes:
     """The index as the relations themselves say, written whole or not at all."""
     raw = index_document(index_rows(published(root)))
-    path = Path(root) / "lineage-index.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    partial = path.with_name(f"{path.name}.{os.getpid()}")
-    partial.write_bytes(raw)
-    os.replace(partial, path)
+    files.write(files.join(root, "lineage-index.json"), raw)
     return raw
 
 
 def verify_index(root: str) -> None:
-    path = Path(root) / "lineage-index.json"
-    held = path.read_bytes() if path.exists() else index_document([])
+    path = files.join(root, "lineage-index.json")
+    held = files.read(path) if files.exists(path) else index_document([])
     if held != index_document(index_rows(published(root))):
         raise LineageIndexError("the index isn't what the relations say")
 
 
 def partials(root: str) -> list[str]:
     """Files that a broken-off publication left."""
-    return sorted(p.name for p in relations_folder(root).glob("*.partial"))
+    return files.names(relations_folder(root), ".partial")

@@ -9,11 +9,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions import files
+from ..schemas import VERSION
+from . import catalog as G
+from . import storage
+from .cut import materialized
 from .ordering import with_previous
 
 
@@ -107,6 +113,45 @@ def prepare(sources: Sequence[DataFrame], manifests: DataFrame, start: int | Non
     return chosen
 
 
+#: Failures of a source's copies, the one that says most last.
+SEVERITY = (G.MissingArtifact, G.PhysicalMismatch, G.SchemaMismatch, G.SemanticMismatch)
+
+
+def load_source(spark: SparkSession, root: str, storage_root: str, digest: str) -> tuple[DataFrame, dict[str, Any]]:
+    """(rows with source, ordinal, at_us, record_type and the record's own columns; manifest) of a published dataset.
+
+    Every copy that the index knows is tried in the order of locations, and the first that meets all claims is taken; where none does, the
+    failure that says most is raised. The rows are kept, and hashed again as they were kept: what was verified is what is replayed.
+    Ordinals are places in stored order.
+    """
+    manifest = G.read_manifest(root, digest)
+    if manifest["schema_version"] != VERSION:
+        raise UnsupportedSchema(f"{digest} has storage version {manifest['schema_version']}")
+    worst: G.CatalogError = G.MissingArtifact(f"no copy of {digest}")
+    for location, _ in sorted(e for e in G.load_index(root) if e[1] == manifest["physical_hash"]):
+        path = files.join(storage_root, location)
+        try:
+            G.verify_artifact(spark, path, manifest)
+            records, _ = storage.read_artifact(spark, path, manifest["contract"], manifest["record_type"])
+            kept = materialized(records)
+            if G.semantic_hash_of(kept, manifest["record_type"], manifest["contract"]) != manifest["semantic_hash"]:
+                raise G.SemanticMismatch(f"{path} changed while it was read")
+        except SEVERITY as e:
+            worst = max(worst, e, key=lambda x: SEVERITY.index(type(x)))
+            continue
+        own = kept.select(F.lit(digest).alias("source"), F.lit(manifest["record_type"]).alias("record_type"), *kept.columns)
+        return own, manifest
+    raise worst
+
+
+def prepare_from_catalog(spark: SparkSession, root: str, storage_root: str, config: ReplayConfig) -> DataFrame:
+    """The selected rows of all datasets that a configuration names, or the error that forbids to replay them: all or none."""
+    loaded = [load_source(spark, root, storage_root, digest) for digest in config.manifests]
+    about = [(m["manifest_hash"], m["semantic_hash"], m["contract"], m["record_type"], m["schema_version"]) for _, m in loaded]
+    described = spark.createDataFrame(about, "source string, semantic_hash string, contract string, record_type string, schema_version int")
+    return prepare([rows for rows, _ in loaded], described, config.start, config.end)
+
+
 def frames(rows: DataFrame, *columns: str) -> DataFrame:
     """at_us, events: what becomes available at each instant, by source and ordinal. A frame is as large as its instant."""
     event = F.struct("source", "ordinal", "record_type", *columns)

@@ -1,14 +1,13 @@
 """Stored artifacts: one Parquet file for a dataset, whose bytes and footer are part of the contract.
 
-Spark can't write unsigned integers or footer metadata, so a single-file artifact is written through pyarrow, row group by row group,
-from rows that reach the writer in stored order. Reading is Spark's own; the footer is read on the driver.
+Spark can't write unsigned integers or footer metadata, so a single-file artifact is written through pyarrow in a task, row group by
+row group, from rows that reach it in stored order. Reading is Spark's own; the footer is read on the driver. Paths may be URIs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-from pathlib import Path
+import uuid
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -16,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..schemas import LEGACY_VERSION, PRICE_PRECISION, PRICE_SCALE, PRICES, QUANTITIES, ROW_GROUP, SCHEMA_NAME, STORED, VERSION
+from ..functions import files
+from ..schemas import EARLIEST, LATEST, LEGACY_VERSION, PRICE_PRECISION, PRICE_SCALE, PRICES, QUANTITIES, ROW_GROUP, SCHEMA_NAME, SIDES, STORED, VERSION
 
 
 class StorageError(ValueError):
@@ -56,38 +56,53 @@ def stored_rows(records: DataFrame, kind: str, contract: str | None = None) -> D
 
 
 def write_artifact(rows: DataFrame, path: str, kind: str, version: int = VERSION, contract: str | None = None) -> None:
-    """stored_rows() in order of ordinal, as one file that appears whole or not at all."""
+    """stored_rows() in order of ordinal, as one file that appears whole or not at all.
+
+    Rows are sorted by all executors; the one task that writes the file takes the sorted ranges one after the other, a row group at a time.
+    An attempt that is lost leaves a partial file of its own name behind, and never the artifact.
+    """
     schema = arrow_schema(kind, version, contract)
-    target = Path(path)
-    partial = target.with_name(f"{target.name}.{os.getpid()}.partial")
-    ordered = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal")
-    try:
-        with pq.ParquetWriter(partial, schema, compression="snappy", use_dictionary=False, version="2.6") as writer:
-            held: list[dict] = []
-            for row in ordered.toLocalIterator(prefetchPartitions=True):
-                held.append(row.asDict())
-                if len(held) == ROW_GROUP:
-                    writer.write_table(_table(held, schema), row_group_size=ROW_GROUP)
-                    held = []
-            if held or not rows.columns:
-                writer.write_table(_table(held, schema), row_group_size=ROW_GROUP)
-        os.replace(partial, target)
-    finally:
-        partial.unlink(missing_ok=True)
-
-
-def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    cols = []
-    for f in schema:
-        values = [r[f.name] for r in rows]
-        cols.append(pa.array([None if v is None else int(v) for v in values] if pa.types.is_integer(f.type) or pa.types.is_timestamp(f.type) else values, f.type))
-    return pa.Table.from_arrays(cols, schema=schema)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        partial = f"{path}.{uuid.uuid4().hex}-{TaskContext.get().taskAttemptId()}.partial"
+        _write(batches, partial, schema)
+        yield pa.record_batch([pa.array([partial])], names=["partial"])
+
+    ordered = rows.select("ordinal", *schema.names).repartitionByRange("ordinal").sortWithinPartitions("ordinal").drop("ordinal")
+    made = [r.partial for r in ordered.coalesce(1).mapInArrow(write, "partial string").collect()]
+    if not made:  # nothing to write, no task to write it
+        made = [f"{path}.{uuid.uuid4().hex}.partial"]
+        _write([], made[0], schema)
+    files.move(made[0], path)
+
+
+def _write(batches, path: str, schema: pa.Schema) -> None:
+    fs, own = files.at(path)
+    with fs.open_output_stream(own) as out, pq.ParquetWriter(out, schema, compression="snappy", use_dictionary=False, version="2.6") as writer:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_arrays([batch[f.name].cast(f.type) for f in schema], schema=schema))
+            if sum(t.num_rows for t in held) >= ROW_GROUP:
+                table = pa.concat_tables(held)
+                whole = table.num_rows // ROW_GROUP * ROW_GROUP
+                writer.write_table(table.slice(0, whole), row_group_size=ROW_GROUP)
+                held = [table.slice(whole)] if whole < table.num_rows else []
+        if held:
+            writer.write_table(pa.concat_tables(held), row_group_size=ROW_GROUP)
+
+
+def _footer(path: str) -> pa.Schema:
+    fs, own = files.at(path)
+    with fs.open_input_file(own) as f:
+        return pq.read_schema(f)
 
 
 def descriptor(path: str) -> dict[str, str]:
     """The footer's metadata; no rows are read."""
     try:
-        found = pq.read_schema(path)
+        found = _footer(path)
     except FileNotFoundError as e:
         raise StorageError(f"no artifact at {path}") from e
     except pa.ArrowInvalid as e:
@@ -109,12 +124,22 @@ def read_artifact(spark: SparkSession, path: str, contract: str | None = None, k
     if contract is not None and held != contract:
         raise StorageContractError(f"{path} holds {held}, not {contract}")
     schema = arrow_schema(own, version, held)
-    if [(f.name, f.type) for f in pq.read_schema(path)] != [(f.name, f.type) for f in schema]:
+    if [(f.name, f.type) for f in _footer(path)] != [(f.name, f.type) for f in schema]:
         raise StorageContractError(f"{path}: columns")
     raw = spark.read.parquet(path)
     checks = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in raw.columns]
     if version == VERSION:
         checks.append(F.count_if(F.col("canonical_identity") != held).alias("foreign"))
+    # What no valid record holds: instants beyond the years 1 to 9999, prices and quantities outside their envelope, unknown sides.
+    at = F.unix_micros("timestamp")
+    checks.append(F.count_if((at < EARLIEST) | (at > LATEST)).alias("range_timestamp"))
+    for n, _ in STORED[own]:
+        if n in PRICES[own]:
+            checks.append(F.count_if((F.col(n) <= 0) | (F.col(n) > 10**18 - 1)).alias(f"range_{n}"))
+        elif n in QUANTITIES[own] or n == "interval_microseconds":
+            checks.append(F.count_if(F.col(n) < 1).alias(f"range_{n}"))
+        else:
+            checks.append(F.count_if(~F.col(n).isin(*SIDES)).alias(f"range_{n}"))
     wrong = {k: v for k, v in raw.agg(*checks).first().asDict().items() if v}
     if wrong:
         raise StorageContractError(f"{path}: {wrong}")
@@ -135,7 +160,8 @@ def decoded(raw: DataFrame, kind: str, version: int = VERSION) -> DataFrame:
 
 def physical_hash(path: str) -> str:
     out = hashlib.sha256()
-    with open(path, "rb") as f:
+    fs, own = files.at(path)
+    with fs.open_input_stream(own) as f:
         while chunk := f.read(1 << 20):
             out.update(chunk)
     return out.hexdigest()

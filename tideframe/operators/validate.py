@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..schemas import BAR_VALUES, FIELDS, IDENTITY, PRICES, QUANTITIES, VERSION
+from ..schemas import BAR_VALUES, EARLIEST, FIELDS, IDENTITY, PRICES, QUANTITIES, VERSION
 from .cut import materialized
 from .ordering import precedence, with_previous
 
@@ -109,10 +109,6 @@ def value_issues(raw: DataFrame, kind: str) -> DataFrame:
     return _listed(parsed(raw, kind), _value(kind))
 
 
-#: Microseconds of the first instant that can be told, the start of the year 1.
-EARLIEST = -62_135_596_800_000_000
-
-
 def interval_micros(text: Column) -> Column:
     """Decimal seconds as whole microseconds; null for what isn't a number of them."""
     us = E.as_decimal(text) * F.lit(1_000_000)

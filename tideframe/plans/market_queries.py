@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from ..operators import ordering as O
 from ..operators import replay as R
 from ..operators import rollover as X
 from ..operators import validate as V
+from ..operators.cut import shared_folder
 from ..sources import feeds, profile
 from . import adapters as A
 
@@ -120,7 +120,7 @@ def replay_broken_invariants(spark, sf):
     return R.broken_invariants(t.unionByName(t.where("ordinal % 10 = 0"))).select("source", "ordinal", "n")
 
 
-@query()
+@query(f"WITH {A.T}, tc AS (SELECT * REPLACE (at_us // {H} * {H} AS at_us) FROM t) SELECT at_us, count(*) AS n_events, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, CAST(sum(size) AS BIGINT) AS volume, CAST(sum(price_fp * size) AS BIGINT) AS notional_fp FROM tc GROUP BY at_us")
 def replay_prepared(spark, sf):
     """Checks, then frames, of two sources that don't overlap."""
     t = A.trades(spark, sf)
@@ -130,16 +130,16 @@ def replay_prepared(spark, sf):
     return R.frame_summary(A.coarse(R.prepare([one, two], about)))
 
 
-@query()
+@query("WITH h AS (SELECT epoch_us(date_trunc('hour', ts)) AS at_us, event_id, event_id % 7 + 1 AS size FROM events) SELECT at_us, count(*) AS n_events, min(event_id) AS first_ordinal, max(event_id) AS last_ordinal, CAST(sum(size) AS BIGINT) AS volume FROM h GROUP BY at_us")
 def stream_frames(spark, sf):
-    """Frames of the events as a stream; no oracle, as the driver's check is of SQL."""
+    """Frames of the events as a stream; instants are whole hours, so the watermark passes the last one, too."""
     from ..streaming import replay_stream as S
 
     events = spark.readStream.schema(A.load(spark, sf, "events").schema).parquet(f"{sf}/events.parquet" if _is_folder(spark, sf) else f"{sf}/events*.parquet")
     rows = events.select(F.date_trunc("HOUR", F.col("ts").cast("timestamp")).alias("timestamp"), F.lit("s").alias("source"), F.col("event_id").alias("ordinal"), (F.col("event_id") % 7 + 1).alias("size"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tideframe-')}"
-    name = f"frames_{uuid.uuid4().hex}"
-    return S.run_to_table(S.frames(rows), name, f"{base}/{name}")
+    base = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    out = S.run_to_table(S.frames(rows), f"{base}/table", f"{base}/checkpoint")
+    return out.select(F.unix_micros("timestamp").alias("at_us"), "n_events", "first_ordinal", "last_ordinal", "volume")
 
 
 def _is_folder(spark: SparkSession, sf: str) -> bool:
@@ -458,10 +458,26 @@ def compare_multiset(spark, sf):
     return M.multiset(left, right, "symbol", "price_fp", "size")
 
 
-@query(f"WITH {LR} SELECT count(*) FILTER (WHERE l.ordinal IS NULL OR r.ordinal IS NULL OR (l.symbol, l.price_fp, l.size) IS DISTINCT FROM (r.symbol, r.price_fp, r.size)) AS differing, FALSE AS same_sequence FROM l FULL JOIN r ON l.ordinal = r.ordinal")
-def compare_sequence(spark, sf):
+# Versions of each symbol's trades: the same, the other one, the same but for its order, and one of them later.
+PAIRS = ("same", "other", "reordered", "later")
+
+
+def _pair(spark, sf, name):
     left, right = _versions(spark, sf)
-    return M.sequence(left, right, "ordinal", "symbol", "price_fp", "size")
+    if name == "other":
+        return left, right
+    if name == "reordered":
+        return left, left.withColumn("ordinal", F.col("ordinal").bitwiseXOR(F.lit(1)))
+    return left, left if name == "same" else left.withColumn("ordinal", F.col("ordinal") + 1_000_000_000)
+
+
+PAIR_SQL = f"{LR}, p AS (SELECT 'same' AS pair, * FROM l UNION ALL SELECT 'other', * FROM r UNION ALL SELECT 'reordered', xor(ordinal, 1), symbol, price_fp, size FROM l UNION ALL SELECT 'later', ordinal + 1000000000, symbol, price_fp, size FROM l), k AS (SELECT unnest(['same', 'other', 'reordered', 'later']) AS pair), x AS (SELECT pair, l.* FROM l CROSS JOIN k)"
+
+
+@query(f"WITH {PAIR_SQL}, d AS (SELECT coalesce(x.pair, p.pair) AS pair, count(*) FILTER (WHERE x.ordinal IS NULL OR p.ordinal IS NULL OR (x.symbol, x.price_fp, x.size) IS DISTINCT FROM (p.symbol, p.price_fp, p.size)) AS differing FROM x FULL JOIN p ON x.pair = p.pair AND x.ordinal = p.ordinal GROUP BY ALL) SELECT pair, differing, differing = 0 AS same_sequence FROM d")
+def compare_sequence(spark, sf):
+    out = [M.sequence(*_pair(spark, sf, p), "ordinal", "symbol", "price_fp", "size").select(F.lit(p).alias("pair"), "*") for p in PAIRS]
+    return R.union_sources(out)
 
 
 @query(f"WITH {A.B}, u AS (SELECT symbol, start_us, interval_us, min(open) AS open, max(volume) AS volume FROM b GROUP BY ALL), l AS (SELECT * FROM u WHERE start_us // {A.DAY_US} % 5 <> 0), r AS (SELECT symbol, start_us, interval_us, open, CASE WHEN start_us // {A.DAY_US} % 3 = 0 THEN volume + 1 ELSE volume END AS volume FROM u WHERE start_us // {A.DAY_US} % 7 <> 0) SELECT coalesce(l.symbol, r.symbol) AS symbol, coalesce(l.start_us, r.start_us) AS start_us, coalesce(l.interval_us, r.interval_us) AS interval_us, CASE WHEN r.symbol IS NULL THEN 'left_only' WHEN l.symbol IS NULL THEN 'right_only' WHEN l.open = r.open AND l.volume = r.volume THEN 'identical' ELSE 'conflicting' END AS outcome FROM l FULL JOIN r ON l.symbol = r.symbol AND l.start_us = r.start_us AND l.interval_us = r.interval_us")
@@ -477,10 +493,10 @@ def ambiguous_bar_keys(spark, sf):
     return M.ambiguous_keys(A.bars(spark, sf), "symbol", "start_us")
 
 
-@query(f"WITH {LR} SELECT FALSE AS disjoint")
+@query(f"WITH {PAIR_SQL}, a AS (SELECT pair, min(ordinal) AS a0, max(ordinal) AS a1 FROM x GROUP BY pair), b AS (SELECT pair, min(ordinal) AS b0, max(ordinal) AS b1 FROM p GROUP BY pair) SELECT pair, a1 < b0 OR b1 < a0 AS disjoint FROM a JOIN b USING (pair)")
 def compare_ranges(spark, sf):
-    left, right = _versions(spark, sf)
-    return M.ranges_disjoint(left, right, "ordinal")
+    out = [M.ranges_disjoint(*_pair(spark, sf, p), "ordinal").select(F.lit(p).alias("pair"), "*") for p in PAIRS]
+    return R.union_sources(out)
 
 
 # --- calendar and rolls ---------------------------------------------------------------------------------------------

@@ -9,9 +9,11 @@ PRICE_SCALE = 6
 PRICE_PRECISION = 18
 MAX_PRICE = "999999999999.999999"
 MAX_QUANTITY = 2**64 - 1
-SCHEMA_NAME = "quant_research_terminal.storage"
+SCHEMA_NAME = "tideframe.storage"
 LEGACY_VERSION, VERSION = 2, 3
 ROW_GROUP = 65_536
+#: Microseconds of the first and the last instant that can be told, in the years 1 and 9999.
+EARLIEST, LATEST = -62_135_596_800_000_000, 253_402_300_799_999_999
 
 PRICE = T.DecimalType(PRICE_PRECISION, PRICE_SCALE)
 QUANTITY = T.DecimalType(20, 0)

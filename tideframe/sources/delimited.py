@@ -8,15 +8,21 @@ quoted fields may hold line breaks.
 from __future__ import annotations
 
 import csv
-import glob
+import fnmatch
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import exprs as E
+from ..functions import files
+
+#: Rows of a batch.
+ROWS = 4096
 
 
 class ProviderError(ValueError):
@@ -54,8 +60,14 @@ class Request:
         return (self.start is None or at >= self.start) and (self.end is None or at < self.end)
 
 
+def _text(path: str, encoding: str):
+    """A file's text as it stands, by path or URI."""
+    fs, own = files.at(path)
+    return io.TextIOWrapper(fs.open_input_file(own), encoding=encoding, newline="")
+
+
 def header_of(path: str, encoding: str = "utf-8") -> list[str]:
-    with open(path, encoding=encoding, newline="") as f:
+    with _text(path, encoding) as f:
         names = next(csv.reader(f), None)
     if not names:
         raise Decode(f"{path} has no header")
@@ -71,27 +83,47 @@ class _File(InputPartition):
 
 
 class DelimitedReader(DataSourceReader):
+    """A file is a partition, read as a stream and given out in Arrow batches; it is closed when it ends, fails, or isn't read on."""
+
     def __init__(self, options: dict[str, str], names: list[str]):
         self.paths, self.encoding, self.names = _paths(options), options.get("encoding", "utf-8"), names
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding=self.encoding, newline="") as f:
-            rows = csv.reader(f, strict=True)
-            if next(rows, None) != self.names:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        names = ["__file", "source_index", *self.names]
+
+        def batch(begin: int, rows: list[list[str]]) -> pa.RecordBatch:
+            fixed = [pa.array([partition.path] * len(rows), pa.string()), pa.array(range(begin, begin + len(rows)), pa.int64())]
+            return pa.RecordBatch.from_arrays([*fixed, *[pa.array(c, pa.string()) for c in zip(*rows)]], names=names)
+
+        with _text(partition.path, self.encoding) as f:
+            found = csv.reader(f, strict=True)
+            if next(found, None) != self.names:
                 raise Decode(f"{partition.path} has another header than the first file")
-            for i, row in enumerate(rows):
+            held: list[list[str]] = []
+            begin = 0
+            for row in found:
                 if len(row) != len(self.names):
-                    raise Decode(f"row {i} of {partition.path} has {len(row)} fields, the header {len(self.names)}")
-                yield (partition.path, i, *row)
+                    raise Decode(f"row {begin + len(held)} of {partition.path} has {len(row)} fields, the header {len(self.names)}")
+                held.append(row)
+                if len(held) == ROWS:
+                    yield batch(begin, held)
+                    begin, held = begin + len(held), []
+            if held:
+                yield batch(begin, held)
 
 
 def _paths(options: dict[str, str]) -> list[str]:
+    """The files that a path, a folder's path, or a pattern in its last part names, sorted."""
     if "path" not in options:
         raise NotConfigured("a path is needed")
-    found = sorted(glob.glob(options["path"].removeprefix("file://")))
+    folder, _, last = options["path"].rstrip("/").rpartition("/")
+    if any(c in last for c in "*?["):
+        found = [files.join(folder, n) for n in files.names(folder) if fnmatch.fnmatch(n, last)]
+    else:
+        found = [options["path"]] if files.exists(options["path"]) else []
     if not found:
         raise NotConfigured(f"no file at {options['path']}")
     return found
@@ -126,6 +158,8 @@ def excluded(request: Request, symbol, at_us):
 
 def reconciled(embedded, configured: str | None):
     """The symbol of a record: the file's own, which must agree with a configured one, or that; neither is an error."""
+    if configured is not None and not configured.strip():
+        raise NotConfigured("a configured symbol isn't blank")
     own = F.when(E.stripped(embedded) != "", embedded)
     if configured is None:
         return F.coalesce(own, F.raise_error(F.lit("a record without a symbol")).cast("string"))

@@ -18,7 +18,7 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
 def frames(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """events (timestamp, source, ordinal, size): timestamp, n_events, first_ordinal, last_ordinal, volume, once the watermark passed an instant.
 
-    Instants are kept to the microsecond; the watermark counts milliseconds, so frames of the last one wait for later data. Sources don't go back, so no event comes behind the watermark; late_rows() tells if one did.
+    Instants are kept to the microsecond; the watermark counts milliseconds, so frames of the last one wait for later data. Sources don't go back, so no event comes behind the watermark; run_to_table() fails if one did.
     """
     own = events.withWatermark("timestamp", delay).groupBy("timestamp")
     return own.agg(F.count(F.lit(1)).alias("n_events"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.sum("size").cast("bigint").alias("volume"))
@@ -49,11 +49,11 @@ def deduplicated_quotes(quotes: DataFrame, delay: str = "1 minute") -> DataFrame
     return quotes.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["timestamp", "instrument_symbol", "bid", "ask", "bid_size", "ask_size"])
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drives a stream over what is there now into an in-memory table; fails if the watermark dropped rows."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drives a stream over what is there now into a table at path, which executors write; fails if the watermark dropped rows."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
     if dropped:
         raise ValueError(f"{dropped} events came behind the watermark")
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
