@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,13 +21,16 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. A session of one
+    process, as in tests, may do without and gets one of its own; others can't."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = made.get()
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tideframe-')}")
+        base = context.getCheckpointDir().get()
     return base.rstrip("/")
 
 
