@@ -23,7 +23,7 @@ from .common import batches_by_bytes, plain, staged, trimmed
 from .tokens import SLICE, encoder, with_end
 
 #: Items of a block, about: one task packs a block; and the share of a bin below which it is dissolved.
-BLOCK_ITEMS, DISSOLVED = 20_000, 0.97
+BLOCK_ITEMS, DISSOLVED = 5_000, 0.97
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
