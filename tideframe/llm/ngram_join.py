@@ -37,7 +37,7 @@ RECALL = 0.999
 #: How far below the threshold the agreement of signatures may be, in standard deviations of the estimate.
 MARGIN = 4.5
 #: Documents of a block below a node, and of a block of sets; shingles whose columns are multiplied at once.
-NODE_BLOCK, BLOCK, COLUMNS = 4096, 1024, 4096
+NODE_BLOCK, BLOCK, COLUMNS = 1024, 1024, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,10 +159,15 @@ def groups_of(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _connected(sig: np.ndarray, n: np.ndarray, open_: np.ndarray, side: np.ndarray, within: bool, threshold: float, least: float) -> list[tuple[int, int, float]]:
-    """Edges (and the agreement) of a spanning forest of the documents that may be linked, one of each two being open."""
+def _connected(sig: np.ndarray, n: np.ndarray, open_: np.ndarray, side: np.ndarray, ids: np.ndarray, threshold: float, least: float) -> list[tuple[int, int, float]]:
+    """Edges (and the agreement) of a spanning forest of the documents that may be linked, one of each two being open.
+
+    Documents take their turn by id, so that the nodes of a group in different trees mostly give the same edges.
+    """
+    within = not side.any()
     label, out = np.arange(len(sig)), []
-    for i in np.flatnonzero(open_ if within else side == 0).tolist():
+    turn = np.flatnonzero(open_ if within else side == 0)
+    for i in turn[np.argsort(ids[turn], kind="stable")].tolist():
         other = label != label[i]
         if not other.any():
             break
@@ -176,7 +181,8 @@ def _connected(sig: np.ndarray, n: np.ndarray, open_: np.ndarray, side: np.ndarr
         hit = agree >= least
         if not hit.any():
             continue
-        j, agree = j[hit], agree[hit]
+        order = np.argsort(ids[j[hit]], kind="stable")
+        j, agree = j[hit][order], agree[hit][order]
         _, first = np.unique(label[j], return_index=True)
         out += [(i, int(j[f]), float(agree[f])) for f in first.tolist()]
         label[np.isin(label, label[j])] = label[i]
@@ -210,14 +216,15 @@ def _match(threshold: float):
                     agree.append(s[hit])
             for g in np.flatnonzero((size > 8) | (bi[begin] != bj[begin])).tolist():
                 x = slice(int(begin[g]), int(begin[g] + size[g]))
-                edges = _connected(sig[x], n[x], open_[x], side[x], bi[x.start] == bj[x.start], threshold, least)
                 own = ids[x]
+                edges = _connected(sig[x], n[x], open_[x], side[x], own, threshold, least)
                 a.append(own[[e[0] for e in edges]])
                 b.append(own[[e[1] for e in edges]])
                 agree.append(np.array([e[2] for e in edges]))
             found = [np.concatenate(c) for c in (a, b, agree)]
             if len(found[0]):
-                yield pa.record_batch([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64)), pa.array(found[2].astype(np.float64))], names=["a", "b", "agree"])
+                ends = [f(found[0], found[1]).astype(np.int64) for f in (np.minimum, np.maximum)]
+                yield pa.record_batch([pa.array(ends[0]), pa.array(ends[1]), pa.array(found[2].astype(np.float64))], names=["a", "b", "agree"])
         trimmed()
 
     return run
@@ -225,7 +232,7 @@ def _match(threshold: float):
 
 def blocked(df: DataFrame, keys: list[str], blocks: str, key: str) -> DataFrame:
     """Each row once for each pair of blocks of its group that its own block is part of: bi, bj, side. Blocks are dealt by a hash of key."""
-    dealt = df.withColumn("blk", F.pmod(F.xxhash64(key, *keys), F.col(blocks)).cast("int")).withColumn("o", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
+    dealt = df.withColumn("blk", F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")).withColumn("o", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
     pair = [F.least("blk", "o").cast("bigint").alias("bi"), F.greatest("blk", "o").cast("bigint").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side")]
     return dealt.select(*[c for c in df.columns if c != blocks], *pair)
 
