@@ -43,11 +43,11 @@ SHARED = -(-(LENGTH - K - 2 * (STEP - 1)) // STEP)
 BATCHES = 3
 GROUP_RUNS = 16_384
 #: Entries of one anchor that a task holds, and entries that it counts before they are sent.
-HELD, COUNTED = 400_000, 200_000
+HELD, COUNTED = 400_000, 100_000
 #: Bytes of runs that one task compares at a time, whole groups.
 TOGETHER = 1_000_000
 #: Bytes of texts whose hashes a task holds at a time.
-SLICE = 1_000_000
+SLICE = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -185,7 +185,7 @@ def _counted(batches):
     held: list[pa.RecordBatch] = []
 
     def put():
-        out = pa.Table.from_batches(held).group_by(ORDER).aggregate([("n", "sum"), ("spot", "min")])
+        out = pa.Table.from_batches(held).group_by(ORDER, use_threads=False).aggregate([("n", "sum"), ("spot", "min")])
         held.clear()
         return out.select([*ORDER, "n_sum", "spot_min"]).rename_columns([*ORDER, "n", "spot"]).combine_chunks().to_batches()
 
