@@ -176,6 +176,9 @@ def test_filter_slices(spark, monkeypatch):
         assert sorted(r.id for r in flagged.collect()) == list(range(3000))
         assert flagged.where("not maybe").join(twice, "h", "left_semi").count() == 0
         assert flagged.where("maybe").count() < 1600
+        bloom, plane = D.repeated_filter(keys.select("h"), "filter")
+        assert bloom.has(plane, np.array([r.h for r in twice.collect()])).all()
+        assert bits < 1 << 28 or bloom.has(plane, np.array([r.h for r in keys.join(twice, "h", "left_anti").collect()])).mean() < 0.05
 
 
 def test_groups_that_hold_much(spark):

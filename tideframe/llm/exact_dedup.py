@@ -12,6 +12,7 @@ results; other columns are carried or ignored, whatever their names.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,17 @@ def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.withColumn("maybe", F.lit(True)).schema)
 
 
+def repeated_filter(keys: DataFrame, name: str) -> tuple[Bloom, np.ndarray]:
+    """A filter that holds every key (column h of a staged table) that occurs twice, and few others; of at most MOST_BITS bits."""
+    n = keys.count()
+    if _slices(n) == 1:
+        bloom = Bloom.sized(n, BITS_PER_KEY, MOST_BITS)
+        return bloom, build_bloom(keys, bloom, twice=True)
+    again = flag_repeated(keys, name).where("maybe").select("h")
+    bloom = Bloom.sized(again.count(), BITS_PER_KEY, MOST_BITS)
+    return bloom, build_bloom(again, bloom)
+
+
 def _groups(flagged: DataFrame) -> DataFrame:
     """Of each hash among the rows that may repeat: its first row, and how many rows have it."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row"))

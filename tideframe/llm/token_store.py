@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Bloom, batches_by_bytes, build_bloom, plain, staged, trimmed
-from .exact_dedup import flag_repeated
+from .common import batches_by_bytes, plain, staged, trimmed
+from .exact_dedup import repeated_filter
 from .tokens import SLICE, encoder, with_end
 
 #: Ids that the rolling hash sees; chunks are MIN_CHUNK to MAX_CHUNK ids long, but for a document's last, and about MEAN_CHUNK.
@@ -129,9 +129,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, plain_s
     # Which digests tasks may share is found from hashes alone; only chunks that a filter of those holds shuffle with their ids.
     keys = cut.select(F.explode(F.arrays_zip("digests", "bodies")).alias("c")).where("c.bodies is not null").select(F.xxhash64("c.digests").alias("h"))
     keys = staged(keys, "chunk-keys")
-    shared = flag_repeated(keys, "chunk-flags").where("maybe").select("h")
-    bloom = Bloom.sized(shared.count())
-    sent = spark.sparkContext.broadcast(build_bloom(shared, bloom))
+    bloom, plane = repeated_filter(keys, "chunk-flags")
+    sent = spark.sparkContext.broadcast(plane)
 
     def flag(batches):
         for batch in batches:
