@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps, at most.
 MEMO = 800_000
-#: Bytes of texts that are encoded at a time.
-SLICE = 4_000_000
+#: Bytes of texts that are encoded at a time; words of letters that are encoded as one text.
+SLICE, RUN = 4_000_000, 500
 _ODD = r"(^ )|( $)|([\s\pZ\x{85}\x{1c}-\x{1f}] [\s\pZ\x{85}\x{1c}-\x{1f}])"
 TAIL = ".,;:!?|"
 _TAILS = r"(?P<tail>[.,;:!?|]+)$"
@@ -116,6 +116,10 @@ class Encoder:
         self.specials = [] if plain_specials else sorted({x.content for x in self.tokenizer.get_added_tokens_decoder().values()})
         same = lambda a, b: self._ids([a])[0].tolist() == self._ids([b])[0].tolist()
         self.joined, self.lowers = not same(" a", "a"), same("A", "a")
+        # Ids that a word's first (byte-level) or last (word level) piece has, and no other one: runs of words are told apart by them.
+        vocabulary = self.tokenizer.get_vocab()
+        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marks[[i for x, i in vocabulary.items() if (x.startswith("\u0120") if self.joined else x.endswith("</w>"))]] = True
         self.known = _Known()
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +127,18 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return np.fromiter(chain.from_iterable([x.ids for x in found]), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters only, each behind a space where that matters: many of them are encoded as one text."""
+        space = "" if self.joined else " "
+        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+        ids, sizes = self._ids([space.join(r) for r in runs])
+        at = np.flatnonzero(self.marks[ids])
+        per_run = np.add.reduceat(self.marks[ids].astype(np.int64), np.cumsum(sizes) - sizes) if len(ids) else np.zeros(0, np.int64)
+        if len(at) != len(words) or (sizes == 0).any() or (per_run != [len(r) for r in runs]).any():
+            return self._ids(words)
+        edges = np.append(at, len(ids)) if self.joined else np.concatenate([[0], at + 1])
+        return ids, np.diff(edges)
+
     def _cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
         """Each word without the punctuation behind it, where that can be encoded apart, so that each word is encoded once; those
         pieces of punctuation; and which words have one."""
@@ -171,10 +187,18 @@ class Encoder:
         held = len(pools[0])
         if len(new):
             behind, begin, tail = (new[(new >= a) & (new < b)] - a for a, b in ((0, n), (n, n + len(begins)), (n + len(begins), len(at))))
-            asked = stems.dictionary.take(pa.array(behind)).to_pylist()
-            asked = [" " + x for x in asked] if self.joined else asked
+            own = stems.dictionary.take(pa.array(behind))
+            letters = pc.utf8_is_alpha(own).to_numpy(zero_copy_only=False)
+            if self.lowers:
+                letters &= ~pc.match_substring(own, "\u0130").to_numpy(zero_copy_only=False)
+            spaced = [" " + x for x in own.to_pylist()] if self.joined else own.to_pylist()
+            asked = [spaced[i] for i in np.flatnonzero(~letters).tolist()]
             asked += stems.dictionary.take(pa.array(begins[begin])).to_pylist() + tails.dictionary.take(pa.array(tail)).to_pylist()
-            ids, length[new] = self._ids(asked)
+            words_ids, words_length = self._plain([spaced[i] for i in np.flatnonzero(letters).tolist()])
+            ids, rest = self._ids(asked)
+            ids, sizes = np.concatenate([words_ids, ids]), np.concatenate([words_length, rest])
+            new = new[np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters), np.arange(len(letters), len(new))])]
+            length[new] = sizes
             start[new] = held + np.cumsum(length[new]) - length[new]
             self.known.add(one[new], two[new], ids, length[new])
             pools.append(ids)
