@@ -41,20 +41,26 @@ def _artifact(spark, rows: DataFrame, path: str, contract: str | None = A.CONTRA
     return path
 
 
-RANKED = f"{A.T}, o AS (SELECT * REPLACE (row_number() OVER (ORDER BY ordinal) - 1 AS ordinal) FROM t)"
+def _trades(spark, sf) -> DataFrame:
+    """The trades that are valid records: a price of nothing is none, and storage and imports refuse it."""
+    return A.trades(spark, sf).where("price_fp > 0")
+
+
+V_T = A.T.replace("t AS (", "a AS (", 1) + ", t AS (SELECT * FROM a WHERE price_fp > 0)"
+RANKED = f"{V_T}, o AS (SELECT * REPLACE (row_number() OVER (ORDER BY ordinal) - 1 AS ordinal) FROM t)"
 
 
 @query(f"WITH {RANKED} SELECT ordinal, at_us, symbol, price_fp, size, side FROM o")
 def storage_round_trip(spark, sf):
-    path = _artifact(spark, A.trades(spark, sf), f"{_made(_folder(spark, 'stored'))}/a.parquet")
+    path = _artifact(spark, _trades(spark, sf), f"{_made(_folder(spark, 'stored'))}/a.parquet")
     back, _ = S.read_artifact(spark, path, A.CONTRACT, "trade")
     return back.select("ordinal", "at_us", "symbol", E.fixed_point(F.col("price")).alias("price_fp"), F.col("size").cast("bigint").alias("size"), "side")
 
 
-@query(f"""WITH {A.T} SELECT 'trade' AS record_type, '{A.CONTRACT}' AS contract, count(*) AS row_count, min(at_us) AS min_timestamp, max(at_us) AS max_timestamp, count(DISTINCT symbol) AS n_symbols,
+@query(f"""WITH {V_T} SELECT 'trade' AS record_type, '{A.CONTRACT}' AS contract, count(*) AS row_count, min(at_us) AS min_timestamp, max(at_us) AS max_timestamp, count(DISTINCT symbol) AS n_symbols,
  sha256(unhex('{N.header('trade', A.CONTRACT).hex()}' || string_agg({TRADE_HEX}, '' ORDER BY ordinal) || {_be8('count(*)')})) AS semantic_hash FROM t""")
 def manifest_facts(spark, sf):
-    path = _artifact(spark, A.trades(spark, sf), f"{_made(_folder(spark, 'manifest'))}/a.parquet")
+    path = _artifact(spark, _trades(spark, sf), f"{_made(_folder(spark, 'manifest'))}/a.parquet")
     m = G.build_manifest(spark, path, G.source_provenance("imported", "FEED_A"))
     row = (m["record_type"], m["contract"], m["row_count"], m["min_timestamp"], m["max_timestamp"], len(m["source"]["vendor_symbols"]), m["semantic_hash"])
     return spark.createDataFrame([row], "record_type string, contract string, row_count bigint, min_timestamp bigint, max_timestamp bigint, n_symbols bigint, semantic_hash string")
@@ -63,13 +69,13 @@ def manifest_facts(spark, sf):
 CUT, RANGE = JAN + 15 * A.DAY_US, (JAN + 7 * A.DAY_US, JAN + 21 * A.DAY_US)
 
 
-@query(f"""WITH {A.T}, o AS (SELECT *, row_number() OVER (PARTITION BY at_us >= {CUT} ORDER BY ordinal) - 1 AS place FROM t WHERE TRUE), c AS (SELECT at_us // {H} * {H} AS at_us, place, size, price_fp FROM o WHERE at_us >= {RANGE[0]} AND at_us < {RANGE[1]})
+@query(f"""WITH {V_T}, o AS (SELECT *, row_number() OVER (PARTITION BY at_us >= {CUT} ORDER BY ordinal) - 1 AS place FROM t WHERE TRUE), c AS (SELECT at_us // {H} * {H} AS at_us, place, size, price_fp FROM o WHERE at_us >= {RANGE[0]} AND at_us < {RANGE[1]})
  SELECT at_us, count(*) AS n_events, min(place) AS first_ordinal, max(place) AS last_ordinal, CAST(sum(size) AS BIGINT) AS volume, CAST(sum(price_fp * size) AS BIGINT) AS notional_fp FROM c GROUP BY at_us""")
 def replay_from_catalog(spark, sf):
     """Two published datasets, one of them with a damaged copy that comes first, verified, loaded and replayed over a range."""
     base = _folder(spark, "catalog")
     root, store = _made(f"{base}/catalog"), _made(f"{base}/files")
-    t, hashes = A.trades(spark, sf), []
+    t, hashes = _trades(spark, sf), []
     for name, rows in (("one", t.where(F.col("at_us") < CUT)), ("two", t.where(F.col("at_us") >= CUT))):
         path = _artifact(spark, rows, f"{store}/m-{name}.parquet")
         m = G.build_manifest(spark, path, G.source_provenance("imported", "FEED_A"))
@@ -81,9 +87,9 @@ def replay_from_catalog(spark, sf):
     return R.frame_summary(A.coarse(rows.withColumn("price_fp", E.fixed_point(F.col("price"))).withColumn("size", F.col("size").cast("bigint"))))
 
 
-@query(f"WITH {A.T}, m AS (SELECT DISTINCT symbol FROM t) SELECT 'f/' || symbol AS location, CASE WHEN hash_ok THEN sha256(symbol) END AS physical_hash FROM (SELECT symbol, CAST(substring(symbol, 2) AS BIGINT) % 3 > 0 AS hash_ok FROM m)")
+@query(f"WITH {V_T}, m AS (SELECT DISTINCT symbol FROM t) SELECT 'f/' || symbol AS location, CASE WHEN hash_ok THEN sha256(symbol) END AS physical_hash FROM (SELECT symbol, CAST(substring(symbol, 2) AS BIGINT) % 3 > 0 AS hash_ok FROM m)")
 def catalog_by_location(spark, sf):
-    m = A.trades(spark, sf).select("symbol").distinct()
+    m = _trades(spark, sf).select("symbol").distinct()
     location = F.concat(F.lit("f/"), "symbol").alias("location")
     entries = m.where("cast(substring(symbol, 2) as bigint) % 3 > 0").select(location, F.sha2("symbol", 256).alias("physical_hash"))
     return G.located(entries, m.select(location))
@@ -93,7 +99,7 @@ def catalog_by_location(spark, sf):
 def migrate_artifact(spark, sf):
     """A version 2 file rewritten as version 3, with a mapping for each of its symbols."""
     folder = _made(_folder(spark, "migrated"))
-    t = A.trades(spark, sf)
+    t = _trades(spark, sf)
     old = _artifact(spark, t, f"{folder}/old.parquet", None)
     mapping = {r.symbol: A.CONTRACT for r in t.select("symbol").distinct().collect()}  # what an operator would have written down
     contract = G.migrate(spark, old, f"{folder}/new.parquet", mapping)
@@ -104,10 +110,10 @@ def migrate_artifact(spark, sf):
 def _texts(spark, sf) -> DataFrame:
     """Trades as texts without defects."""
     at = F.concat(F.date_format(F.timestamp_micros("at_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp")
-    return A.trades(spark, sf).select(F.col("ordinal").alias("source_index"), at, F.col("symbol").alias("instrument_symbol"), F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), "side")
+    return _trades(spark, sf).select(F.col("ordinal").alias("source_index"), at, F.col("symbol").alias("instrument_symbol"), F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), "side")
 
 
-@query(f"WITH {A.T} SELECT row_number() OVER (ORDER BY at_us, ordinal) - 1 AS ordinal, at_us, symbol, price_fp, size, side FROM t")
+@query(f"WITH {V_T} SELECT row_number() OVER (ORDER BY at_us, ordinal) - 1 AS ordinal, at_us, symbol, price_fp, size, side FROM t")
 def import_end_to_end(spark, sf):
     path = f"{_made(_folder(spark, 'imported'))}/a.parquet"
     done = G.import_dataset(_texts(spark, sf), "trade", path, A.CONTRACT)
@@ -115,7 +121,7 @@ def import_end_to_end(spark, sf):
     return back.select("ordinal", "at_us", "symbol", E.fixed_point(F.col("price")).alias("price_fp"), F.col("size").cast("bigint").alias("size"), "side")
 
 
-@query(f"WITH {A.T} SELECT at_us, symbol, price_fp, size, side FROM t WHERE symbol = 'U5' AND at_us >= {RANGE[0]} AND at_us < {RANGE[1]}")
+@query(f"WITH {V_T} SELECT at_us, symbol, price_fp, size, side FROM t WHERE symbol = 'U5' AND at_us >= {RANGE[0]} AND at_us < {RANGE[1]}")
 def provider_window(spark, sf):
     """What a request asks of delimited files, read by the source of our own."""
     folder = _folder(spark, "delimited")
@@ -124,7 +130,7 @@ def provider_window(spark, sf):
     return V.normalized(found, "trade").select("at_us", F.col("instrument_symbol").alias("symbol"), E.fixed_point(F.col("price")).alias("price_fp"), F.col("size").cast("bigint").alias("size"), "side")
 
 
-@query(f"WITH {A.T} SELECT symbol, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM t GROUP BY symbol")
+@query(f"WITH {V_T} SELECT symbol, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM t GROUP BY symbol")
 def delimited_scan(spark, sf):
     folder = _folder(spark, "scanned")
     _texts(spark, sf).drop("source_index").write.option("header", "true").csv(folder)
@@ -145,7 +151,7 @@ def product_parse(spark, sf):
     return n.select("id", E.is_product(F.col("name")).alias("product"), *[c.alias(k) for k, c in E.product_parts(F.col("name")).items()])
 
 
-@query(f"WITH {A.T} SELECT ordinal, price_fp, size FROM t")
+@query(f"WITH {V_T} SELECT ordinal, price_fp, size FROM t")
 def checked_amounts(spark, sf):
     """Prices and quantities by the form that fails on anything else."""
     own = _texts(spark, sf)
