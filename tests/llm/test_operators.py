@@ -622,6 +622,19 @@ def test_mix(docs, rows, empty):
     assert plan_mix(empty).count() == 0 and mix_documents(empty).count() == 0
 
 
+def test_mix_by_broadcast_and_by_shuffle(docs, spark):
+    """Both ways take the same rows as often, as the plan says, and the first moves no text."""
+    from tideframe.llm.mixing import mix_documents, plan_mix
+
+    many = spark.range(3000).selectExpr("id as doc_id", "repeat('word ', cast(1 + id % 3 as int)) as text", "'en' as lang", "if(id % 3 = 0, null, cast(id % 2 as string)) as source")
+    for table, seed in ((docs, 1), (many, 1), (many, 2)):
+        ways = [collections.Counter(map(tuple, mix_documents(table, seed=seed, decisions=d).collect())) for d in (1 << 18, 0)]
+        assert ways[0] == ways[1] and ways[0]
+    times = {r.doc_id: r.times for r in plan_mix(many, seed=2).collect() if r.times}
+    assert times == collections.Counter(r.doc_id for r in mix_documents(many, seed=2).collect())
+    assert "Exchange hashpartitioning" not in mix_documents(many)._jdf.queryExecution().executedPlan().toString()
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
