@@ -76,3 +76,16 @@ def test_locations_of_all_orders(spark, tmp_path):
     items = [(k, n, k * 10 + n) for k in range(45) for n in range(1, k % 4 + 1)]
     spark.createDataFrame(items, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert rows_of(Q.catalog_locate(spark, str(tmp_path))) == sorted((sha(k), f"f/{k}/{n}/{p}") for k, n, p in items)
+
+
+def test_ordering_of_records_that_share_an_index(spark):
+    """Records of one index come earliest first, wherever they are stored; 40 indices in two ranges have their edges among shared ones."""
+    from tideframe.operators import validate as V
+
+    rows = [(i, i * 5 % 7 + k * 3 % 5) for i in range(40) for k in range(4)]
+    text = [(i, f"2024-01-01T{h:02d}:00:00+00:00") for i, h in rows]
+    ordered = sorted(rows)
+    want = sorted((y[0], "descending_timestamp" if y[1] < x[1] else "ambiguous_timestamp_order") for x, y in zip(ordered, ordered[1:]) if y[1] <= x[1])
+    for given in (text, text[::-1], sorted(text, key=lambda x: (x[1], -x[0]))):
+        raw = spark.createDataFrame(given, "source_index bigint, timestamp string").repartition(3)
+        assert rows_of(V.ordering_issues(raw).select("row_index", "code")) == want

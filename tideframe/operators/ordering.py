@@ -38,16 +38,17 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
 
 
 def with_previous(df: DataFrame, value: str, order: str, *keys: str, name: str = "previous") -> DataFrame:
-    """df with the value of the row before in `order` (unique within the keys), null for the first.
+    """df with the value of the row before in `order`, null for the first. Rows that `order` doesn't tell apart go by their values, smallest
+    first, so the result doesn't depend on how they are stored or dealt.
 
     Within a range the row before is at hand; the last row of each range is carried on by a window over the ranges, of which there are
     as many as shuffle partitions.
     """
     ranged = _ranged(df, *keys, order)
-    edge = ranged.groupBy(*keys, "__part").agg(F.max_by(value, order).alias("__v"))
+    edge = ranged.groupBy(*keys, "__part").agg(F.max_by(value, F.struct(order, value)).alias("__v"))
     by = Window.partitionBy(*keys).orderBy("__part") if keys else Window.orderBy("__part")
     edge = edge.withColumn("__edge", F.lag("__v").over(by)).select(*keys, "__part", "__edge")
-    inner = Window.partitionBy(*keys, "__part").orderBy(order)
+    inner = Window.partitionBy(*keys, "__part").orderBy(order, value)
     out = ranged.withColumn("__own", F.lag(value).over(inner)).withColumn("__first", F.row_number().over(inner) == 1)
     out = out.join(edge, [*keys, "__part"])
     return out.withColumn(name, F.when(F.col("__first"), F.col("__edge")).otherwise(F.col("__own"))).drop("__part", "__own", "__first", "__edge")

@@ -173,8 +173,13 @@ def conflict_details(raw: DataFrame, kind: str = "bar") -> DataFrame:
 
 
 def ordering_issues(raw: DataFrame) -> DataFrame:
-    """Against the record before among those with a valid timestamp: earlier is an error, equal an observation."""
-    valid = raw.select("source_index", E.utc_micros(F.col("timestamp")).alias("at")).where("at is not null")
+    """Against the record before among those with a valid timestamp: earlier is an error, equal an observation.
+
+    Records that share a source_index come earliest first."""
+    read = E.once(raw.select("source_index", "timestamp"), at_text=E.stripped(F.col("timestamp")))
+    read = E.once(read, **E.time_shape(F.col("at_text")))
+    status = E.time_status(F.col("at_text"), F.col("at_shaped"), F.col("at_offset"), F.col("at_local"))
+    valid = E.once(read, at=F.when(status == "valid", F.unix_micros(F.col("at_local").cast("timestamp")))).select("source_index", "at").where("at is not null")
     met = with_previous(valid, "at", "source_index")
     back = _issue(ORDERING, "ERROR", F.when(F.col("at") < F.col("previous"), "descending_timestamp"), F.lit("timestamp"))
     return _listed(met, back, _issue(ORDERING, "INFO", F.when(F.col("at") == F.col("previous"), "ambiguous_timestamp_order"), F.lit("timestamp")))
