@@ -89,3 +89,42 @@ def test_ordering_of_records_that_share_an_index(spark):
     for given in (text, text[::-1], sorted(text, key=lambda x: (x[1], -x[0]))):
         raw = spark.createDataFrame(given, "source_index bigint, timestamp string").repartition(3)
         assert rows_of(V.ordering_issues(raw).select("row_index", "code")) == want
+
+
+@pytest.mark.parametrize("next_of", [lambda x: x // 2, lambda x: x - 1, lambda x: (x * 7 + 3) % 50, lambda x: x, lambda x: 0 if x else None], ids=["tree", "chain", "cycles", "loops", "star"])
+def test_chains_of_single_steps(spark, next_of):
+    from tideframe.operators import lineage as L
+
+    step = {x: next_of(x) for x in range(1, 60)}
+    pairs = [(x, y) for x, y in step.items()]
+    want = sorted((x, y) for x in step for y in below(x, {a: [b] for a, b in step.items()}))
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    assert rows_of(L.reachable(edges, edges.select("a").unionByName(edges.select("a")))) == want
+    few = spark.createDataFrame([(5,), (41,), (99,)], "start bigint")
+    assert rows_of(L.reachable(edges, few)) == [p for p in want if p[0] in (5, 41)]
+    most = edges.where("a > 20").select("a")
+    assert rows_of(L.reachable(edges, most)) == [p for p in want if p[0] > 20]
+
+
+def test_ancestors_take_no_round_for_each_step(spark, orders, monkeypatch):
+    """12 steps to the root: rounds double, and no round writes again what those before it found."""
+    from tideframe.operators import lineage as L
+
+    written = []
+    kept = L.materialized
+    monkeypatch.setattr(L, "materialized", lambda df: written.append(kept(df)) or written[-1])
+    found = Q.lineage_ancestors(spark, orders).count()
+    assert len(written) <= 6 and sum(df.count() for df in written) < found / 2
+
+
+def test_descendants_write_a_pair_again_as_tables_double(spark, monkeypatch):
+    from tideframe.operators import lineage as L
+
+    written = []
+    kept = L.materialized
+    monkeypatch.setattr(L, "materialized", lambda df: written.append(kept(df)) or written[-1])
+    edges = spark.createDataFrame([(i, i + d) for i in range(20) for d in (1, 20)], "a bigint, b bigint")
+    found = rows_of(L.reachable(edges, edges.select("a")))
+    out = {i: [i + 1, i + 20] for i in range(20)}
+    assert found == sorted((s, x) for s in out for x in below(s, out))
+    assert sum(df.count() for df in written) < 5 * len(found)

@@ -7,6 +7,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -107,18 +108,52 @@ def predecessors(edges: DataFrame, node: object) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, backwards: bool = False) -> DataFrame:
     """start, node for every node that each start leads to; a start is among them only if it lies on a cycle.
 
-    Semi-naive: each round joins only the pairs that the last one found new, so cycles end by themselves and shared paths are walked
-    once, and paths may be of any length. Each round is a checkpoint.
+    Where no node has two steps and at least half of them are asked for, their chains are put together; see _chains().
+    Else semi-naive: each round joins only the pairs that the last one found new, so cycles end by themselves and shared paths are walked
+    once, and paths may be of any length. Each round is a checkpoint, and two of them become one where the later isn't the smaller, so a
+    pair is written again as often as its table doubles, not in each round.
     """
-    step = materialized(edges.select(F.col("b" if backwards else "a").alias("from"), F.col("a" if backwards else "b").alias("to")).distinct())
-    new = materialized(starts.toDF("start").join(step, F.col("start") == F.col("from")).select("start", F.col("to").alias("node")).distinct())
-    every = new
-    while True:
+    step = materialized(edges.select(F.col("b" if backwards else "a").alias("from"), F.col("a" if backwards else "b").alias("to")).where("from is not null").distinct())
+    asked = step.join(starts.toDF("start").distinct(), F.col("from") == F.col("start"), "left_semi")
+    if step.groupBy("from").count().where("count > 1").isEmpty() and 2 * asked.count() >= step.count():
+        return _chains(step, asked)
+    new = materialized(asked.select(F.col("from").alias("start"), F.col("to").alias("node")))
+    every, sizes = [new], [new.count()]
+    while sizes[-1]:
         found = new.join(step, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
-        new = materialized(found.join(every, ["start", "node"], "left_anti"))
-        if new.isEmpty():
-            return every
-        every = materialized(every.unionByName(new))
+        new = materialized(found.join(reduce(DataFrame.unionByName, every), ["start", "node"], "left_anti"))
+        every, sizes = [*every, new], [*sizes, new.count()]
+        while len(sizes) > 1 and sizes[-1] and sizes[-2] <= sizes[-1]:
+            every[-2:], sizes[-2:] = [materialized(every[-2].unionByName(every[-1]))], [sizes[-2] + sizes[-1]]
+    return reduce(DataFrame.unionByName, every)
+
+
+def _chains(step: DataFrame, asked: DataFrame) -> DataFrame:
+    """reachable() where each node has one step at most. asked: the steps (from, to) of the starts.
+
+    `at` has nodes, the nodes that their next 1, 2, 4 and so on steps lead to, and the last of these, null where the chain ends or has met
+    itself. Only nodes that are the last of others are carried on, with twice the steps; so there is a round for each doubling of the
+    longest chain, and where chains meet, tables shrink. Then each table's chains are continued by those of the next. Only the rounds
+    are kept; chains are put together while the result is read.
+    """
+    single = lambda df: df.select(F.col("from").alias("node"), F.array("to").alias("chain"), F.when(F.col("to") != F.col("from"), F.col("to")).alias("last"))
+    at, seen = single(step), [single(asked)]
+    while True:
+        needed = at.select(F.col("last").alias("node")).where("node is not null").distinct()
+        own = at.join(needed, "node", "left_semi")
+        on = at.select(F.col("node").alias("last"), F.col("chain").alias("more"), F.col("last").alias("next"))
+        both = own.join(on.join(needed.toDF("last"), "last", "left_semi"), "last", "left").select("node", "chain", "more", "next")
+        both = both.withColumn("whole", F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.concat("chain", "more")))
+        both = both.withColumn("met", F.array_distinct("whole"))
+        at = materialized(both.select("node", F.col("met").alias("chain"), F.when(F.size("met") == F.size("whole"), F.col("next")).alias("last")))
+        if at.isEmpty():
+            break
+        seen.append(at)
+    rest = seen.pop().select("node", "chain")
+    for at in reversed(seen):
+        met = at.join(rest.toDF("last", "more"), "last", "left")
+        rest = met.select("node", F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.array_distinct(F.concat("chain", "more"))).alias("chain"))
+    return rest.select(F.col("node").alias("start"), F.explode("chain").alias("node"))
 
 
 RECURSIVE = """
