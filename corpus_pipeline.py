@@ -7,14 +7,14 @@
 5. pack: the kept texts' tokens in sequences of at most 1024
 
 Null and empty texts are documents like others; an empty table passes all stages. All stages but the last return the
-columns of documents.
+columns of documents. Each stage begins by having executors give back the memory that the one before took.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideframe.llm.common import staged
+from tideframe.llm.common import relieved, staged
 from tideframe.llm.exact_dedup import keep_first
 from tideframe.llm.mixing import mix_documents
 from tideframe.llm.ngram_join import keep_one
@@ -24,22 +24,27 @@ from tideframe.llm.toxicity import keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieved(spark)
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), 2, 1024)
 
 

@@ -83,6 +83,13 @@ def trimmed() -> None:
         pass
 
 
+def relieved(spark: SparkSession) -> None:
+    """Has executors collect their garbage, so that what a stage left of their heaps, and of buffers beside these, goes back to the
+    system before the next stage's workers ask for it. One short task for each core; nothing depends on where they run."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def hot(groups: DataFrame, size: str, share: int = 1024) -> DataFrame:
     """The groups that hold more than a 1/share of all rows; there are fewer than `share`, so they may be broadcast."""
     total = groups.agg(F.sum(size)).first()[0] or 0
